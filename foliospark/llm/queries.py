@@ -4,9 +4,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .history import HistoryCheck
 from .neardup import NearDuplicates
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    check = HistoryCheck(shingle=3, similarity=0.6, min_words=30)
+    return check.check(table(spark, d, "ingestion_manifest"), table(spark, d, "chunks")).where("earlier_record_id is not null").select("earlier_record_id", "record_id")
+
+
+def p1_status(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of a later batch as new or as repeating an earlier one."""
+    found = HistoryCheck(shingle=3, similarity=0.6, min_words=30).check(table(spark, d, "ingestion_manifest"), table(spark, d, "chunks"))
+    return found.select("record_id", "earlier_record_id", F.when(F.col("earlier_record_id").isNull(), "new").otherwise("repeat").alias("outcome"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = NearDuplicates(shingle=3, similarity=0.6, min_words=30)
     return near.pairs(table(spark, d, "chunks"), "chunk_id", "chunk_text").select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -16,5 +28,5 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates().groups(table(spark, d, "chunks"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+QUERIES = {"p1_found": p1_found, "p1_status": p1_status, "p3_found": p3_found, "p3_groups": p3_groups}
 ORACLES: dict[str, str] = {}
