@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
 from .components import components
-from .hashing import Scheme, distinct, fingerprints, lists, ragged, shingles, sketch_slack, word_hashes
+from .hashing import Scheme, distinct, fingerprints, lists, mix64, ragged, shingles, sketch_slack, word_hashes
 
 #: Rows of one band key in one batch from which the key counts as hot, and over how many groups its rows are spread.
 HOT, SPREAD = 64, 16
@@ -30,7 +30,7 @@ def _sign(batches, scheme: Scheme, shingle: int, min_words: int):
         values, offsets, n = values[where], np.concatenate(([0], np.cumsum(lengths))), len(keep)
         h, row = distinct(*shingles(values, offsets, shingle))
         signature = scheme.signature(h, row, n)
-        fp = fingerprints(values, offsets).view(np.int64)
+        fp = (fingerprints(values, offsets) >> np.uint64(1)).view(np.int64)
         s1, s2 = scheme.sketch(signature)
         # copies within the batch send their keys and shingles once
         lead = np.zeros(n, bool)
@@ -44,24 +44,20 @@ def _sign(batches, scheme: Scheme, shingle: int, min_words: int):
         )
 
 
-def _bands(batches, bands: int, hot: int, spread: int):
-    """A row for each band key. A key that is hot in the batch has its rows spread over groups; the first of them, its anchor, is in every group."""
+def _bands(batches, hot: int, spread: int):
+    """A row for each band key and text. A key that is hot in the batch has its rows spread over groups of their own keys;
+    the first of them, its anchor, is in every group, written as the complement of its text so that it sorts first."""
     for batch in batches:
         key, offsets = ragged(batch.column("keys"))
         fp = np.repeat(np.asarray(batch.column("fp")), np.diff(offsets))
-        key = key.view(np.int64)
         order = np.argsort(key, kind="stable")
         key, fp = key[order], fp[order]
         _, start, count = np.unique(key, return_index=True, return_counts=True)
-        many = np.repeat(count > hot, count)
-        salt = np.where(many, 1 + (fp & (2**31 - 1)) % spread, 0).astype(np.int32)
-        anchors = start[count > hot]
-        out = [key, salt, np.zeros(len(key), bool), fp]
-        if len(anchors):
-            copies = spread + 1
-            more = [np.repeat(key[anchors], copies), np.tile(np.arange(copies, dtype=np.int32), len(anchors)), np.ones(copies * len(anchors), bool), np.repeat(fp[anchors], copies)]
-            out = [np.concatenate(x) for x in zip(out, more)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "salt", "anchor", "fp"])
+        group = np.where(np.repeat(count > hot, count), 1 + fp % spread, 0).astype(np.uint64)
+        anchors = np.repeat(start[count > hot], spread + 1)
+        more = np.tile(np.arange(spread + 1, dtype=np.uint64), len(anchors) // (spread + 1))
+        key = np.concatenate((key + mix64(group) * (group > 0), key[anchors] + mix64(more) * (more > 0)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate((fp, ~fp[anchors])))], ["key", "fp"])
 
 
 class NearDuplicates:
@@ -79,9 +75,10 @@ class NearDuplicates:
 
     def stars(self, signatures: DataFrame) -> DataFrame:
         """(hub, fp): in every bucket, each text and the bucket's hub. A bucket of m texts gives m - 1 edges."""
-        rows = signatures.where("lead").select("fp", "keys").mapInArrow(partial(_bands, bands=self.scheme.bands, hot=self.hot, spread=SPREAD), "key long, salt int, anchor boolean, fp long")
-        bucket = W.partitionBy("key", "salt").orderBy(F.desc("anchor"), "fp").rowsBetween(W.unboundedPreceding, W.currentRow)
-        return rows.select("fp", F.first("fp").over(bucket).alias("hub")).where("hub <> fp").distinct()
+        rows = signatures.where("lead").select("fp", "keys").mapInArrow(partial(_bands, hot=self.hot, spread=SPREAD), "key long, fp long")
+        bucket = W.partitionBy("key").orderBy("fp").rowsBetween(W.unboundedPreceding, W.currentRow)
+        text = lambda c: F.greatest(c, F.bitwise_not(c))
+        return rows.select(text(F.col("fp")).alias("fp"), text(F.first("fp").over(bucket)).alias("hub")).where("hub <> fp").distinct()
 
     def _plausible(self, edges: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
         """Edges whose sizes and sketches allow the similarity."""
@@ -118,7 +115,7 @@ class NearDuplicates:
         """(id_a, id_b): every pair of different ids, smaller first, whose texts reach the similarity; copies give all their pairs."""
         signatures = self.signatures(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
         found = self.text_pairs(signatures).select("a", "b")
-        member = signatures.select("id", "fp").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        member = signatures.select("id", "fp").repartition("fp").dropDuplicates(["fp", "id"]).persist(StorageLevel.MEMORY_AND_DISK)
         x, y = member.select(F.col("id").alias("i"), F.col("fp").alias("a")), member.select(F.col("id").alias("j"), F.col("fp").alias("b"))
         other = found.join(x, "a").join(y, "b").select("i", "j")
         own = x.join(y, F.col("a") == F.col("b")).where("i < j").select("i", "j")
