@@ -4,8 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .distinctive import query_keywords, term_scores
 from .history import HistoryCheck
+from .leakage import LeakageSearch
+from .mixing import Mixture
 from .neardup import NearDuplicates
+from .split import split_oversized
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,5 +32,53 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates().groups(table(spark, d, "chunks"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_status": p1_status, "p3_found": p3_found, "p3_groups": p3_groups}
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "chunks"), "chunk_id", "chunk_text", {"section": F.col("metadata.section")}, size=900, overlap=75)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_pieces(spark, d).where("piece_no = 1").select("chunk_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    held = query_keywords(table(spark, d, "chunks"), table(spark, d, "queries"), most_share=0.02).where("distinctive")
+    return held.groupBy("query_id", F.col("id").alias("chunk_id")).agg(F.count("*").alias("n")).where("n >= 2").select("query_id", "chunk_id")
+
+
+def p5_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return query_keywords(table(spark, d, "chunks"), table(spark, d, "queries")).withColumnRenamed("id", "chunk_id")
+
+
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    return term_scores(table(spark, d, "chunks"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    met = LeakageSearch(table(spark, d, "eval_passages")).search(table(spark, d, "documents"))
+    return met.where("verbatim > 0").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Passages that a document holds with other names or numbers only."""
+    met = LeakageSearch(table(spark, d, "eval_passages")).search(table(spark, d, "documents"))
+    return met.where("verbatim = 0 and consistent and literal >= 7").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows")
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).short().select(F.col("given").alias("source"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
+def p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).plan().withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_status, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_keywords, p5_terms, p8_found, p8_templates, p9_found, p9_shares, p9_plan)}
 ORACLES: dict[str, str] = {}
