@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from ..session import table
 from .distinctive import query_keywords, term_scores
 from .history import HistoryCheck
+from .language import LanguageSearch, label_code, long_enough
 from .leakage import LeakageSearch
 from .mixing import Mixture
 from .neardup import NearDuplicates
+from .sentences import split_sentences
 from .split import split_oversized
 
 
@@ -53,6 +55,15 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return term_scores(table(spark, d, "chunks"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
 
 
+def p6_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(table(spark, d, "chunks"), "chunk_id", "chunk_text").withColumnRenamed("id", "chunk_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    spoken = table(spark, d, "chunks").where("metadata.source_type = 'youtube_transcript'")
+    return split_sentences(spoken, "chunk_id", "chunk_text", texts=False).select(F.col("id").alias("chunk_id"), "start_pos")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     met = LeakageSearch(table(spark, d, "eval_passages")).search(table(spark, d, "documents"))
     return met.where("verbatim > 0").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -80,5 +91,22 @@ def p9_plan(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).plan().withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_status, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_keywords, p5_terms, p8_found, p8_templates, p9_found, p9_shares, p9_plan)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    labels = docs.select(F.col("doc_id").alias("id"), label_code(F.col("lang")).alias("label"))
+    long = LanguageSearch(docs).stretches(docs).where(long_enough()).select("id", "lang_code").distinct()
+    return long.join(labels, "id").where(~F.col("lang_code").eqNullSafe(F.col("label"))).select(F.col("id").alias("doc_id"), "lang_code").distinct()
+
+
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return LanguageSearch(docs).stretches(docs).withColumnRenamed("id", "doc_id")
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return LanguageSearch(docs).languages(docs).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_status, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_keywords, p5_terms, p6_found, p6_sentences, p8_found, p8_templates, p9_found, p9_shares, p9_plan, p10_found, p10_stretches, p10_languages)}
 ORACLES: dict[str, str] = {}
