@@ -1,6 +1,7 @@
 """What operators need from a session: the shared folder, and the size checks that guard broadcasts."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read from a Parquet table written to the shared folder: short lineage, short plans, pruned columns."""
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
