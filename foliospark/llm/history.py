@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, maybe_broadcast, shared_dir, strip
+from ..session import maybe_broadcast, shared_dir, strip, written
 from .hashing import Scheme, distinct, lists, mix64, ragged, shingles, sketch_slack, word_hashes
 
 #: Chunks of a document that are put in order by one task. A document of any length is cut into such blocks.
@@ -150,20 +150,20 @@ class HistoryCheck:
     def documents(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The documents with enough words, (doc, text), where text is one number for all documents of the same shingles;
         one signature of each text, (text, s1, s2, keys, size); and the words at chunk starts, (doc, wh)."""
-        scanned = self._scan(chunks).persist(StorageLevel.MEMORY_AND_DISK)
-        joints = self._joint_words(scanned).persist(StorageLevel.MEMORY_AND_DISK)
+        scanned = written(self._scan(chunks))
+        joints = written(self._joint_words(scanned))
         cross = joints.mapInArrow(partial(_joints, n=self.shingle), "doc string, sum long, least array<long>")
         whole = F.sum(F.col("sum").cast("decimal(38,0)"))
         own = scanned.dropDuplicates(["doc", "chunk"]).groupBy("doc").agg(F.sum("n").alias("n"), whole.alias("own")).where(F.col("n") >= max(self.min_words, self.shingle))
         over = cross.groupBy("doc").agg(whole.alias("over"))
         modulus = F.lit(Decimal(2**64)).cast("decimal(38,0)")
-        docs = own.join(over, "doc", "left").select("doc", F.xxhash64("n", F.pmod(F.col("own") + F.coalesce("over", F.lit(0)), modulus)).alias("text")).persist(StorageLevel.MEMORY_AND_DISK)
+        docs = written(own.join(over, "doc", "left").select("doc", F.xxhash64("n", F.pmod(F.col("own") + F.coalesce("over", F.lit(0)), modulus)).alias("text")))
         # one document stands for its text
         stand = docs.groupBy("text").agg(F.min("doc").alias("doc"))
         bins = scanned.where("least is not null").select("doc", F.explode("least").alias("h")).unionAll(cross.select("doc", F.explode("least").alias("h")))
         bins = bins.groupBy("doc", F.shiftrightunsigned("h", int(self.scheme.shift)).alias("bin")).agg(F.min("h").alias("h"))
         signed = bins.groupBy("doc").agg(F.collect_list("h").alias("least")).mapInArrow(partial(_keys, scheme=self.scheme), "doc string, s1 long, s2 long, keys array<long>")
-        return docs, signed.join(stand, "doc").persist(StorageLevel.MEMORY_AND_DISK), joints
+        return docs, written(signed.join(stand, "doc")), joints
 
     def _sets(self, chunks: DataFrame, joints: DataFrame, wanted: DataFrame) -> DataFrame:
         """(doc, h): the different shingles of the wanted documents. Only their chunks are read into words."""
@@ -182,12 +182,12 @@ class HistoryCheck:
         index.append(signatures.join(old.select("text"), "text", "left_semi"))
         rank = F.row_number().over(W.partitionBy("new", "key").orderBy("first"))
         met = index.probe(signatures.join(new, "text", "left_semi")).where("new <> text").join(old, "text").withColumn("rank", rank)
-        met = met.persist(StorageLevel.MEMORY_AND_DISK)
+        met = written(met)
         one = self._verified(met.where(F.col("rank") <= self.wave).select("new", "text").distinct(), chunks, joints, signatures)
         later = met.where(F.col("rank") > self.wave)
         if later.isEmpty():
             return one
-        one = cut(one)
+        one = written(one)
         settled = met.where(F.col("rank") <= self.wave).join(one, ["new", "text"], "left_semi").select("new", "key").distinct()
         rest = later.join(settled, ["new", "key"], "left_anti").select("new", "text").distinct()
         return one.unionAll(self._verified(rest, chunks, joints, signatures)).distinct()
@@ -197,7 +197,8 @@ class HistoryCheck:
         x = signatures.select(F.col("text").alias("new"), F.col("doc").alias("x"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
         y = signatures.select("text", F.col("doc").alias("y"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
         far = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-        near = pairs.join(x, "new").join(y, "text").where(far <= sketch_slack(self.similarity)).select("new", "text", "x", "y").persist(StorageLevel.MEMORY_AND_DISK)
+        near = pairs.join(x, "new").join(y, "text").where(far <= sketch_slack(self.similarity)).select("new", "text", "x", "y")
+        near = written(near)
         sets = self._sets(chunks, joints, near.select(F.explode(F.array("x", "y")).alias("doc")).distinct()).persist(StorageLevel.MEMORY_AND_DISK)
         sizes = sets.groupBy("doc").agg(F.count("*").alias("size"))
         both = near.join(sets.select(F.col("doc").alias("x"), "h"), "x").join(sets.select(F.col("doc").alias("y"), "h"), ["y", "h"]).groupBy("new", "text", "x", "y").agg(F.count("*").alias("both"))
@@ -214,8 +215,8 @@ class HistoryCheck:
         docs, signatures, joints = self.documents(chunks)
         # the two earliest accepted documents of each text: one of them is another document than the record's own
         per_doc = rec.where("ok").groupBy("doc").agg(F.min("at").alias("first")).join(docs, "doc")
-        early = per_doc.withColumn("rank", F.row_number().over(W.partitionBy("text").orderBy("first"))).where("rank <= 2").drop("rank").persist(StorageLevel.MEMORY_AND_DISK)
-        asked = later.select("record_id", "at", "doc").join(docs, "doc").persist(StorageLevel.MEMORY_AND_DISK)
+        early = written(per_doc.withColumn("rank", F.row_number().over(W.partitionBy("text").orderBy("first"))).where("rank <= 2").drop("rank"))
+        asked = later.select("record_id", "at", "doc").join(docs, "doc")
         same = asked.join(early.select("text", "first", F.col("doc").alias("other")), "text").where("other <> doc and first < at").select("record_id", "first")
         old = early.groupBy("text").agg(F.min("first").alias("first"))
         similar = self._similar(asked.select("text").distinct(), old, chunks, joints, signatures)
