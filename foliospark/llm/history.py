@@ -76,13 +76,37 @@ def _joints(batches, n: int):
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(_sums(h, row, batch.num_rows)), lists(h, row, batch.num_rows)], ["doc", "sum", "least"])
 
 
-def _keys(batches, scheme: Scheme):
+def _merge(batches, scheme: Scheme):
+    """Signature and band keys of each document, from rows of partial minima that come sorted by document. Only the last document is carried on."""
+
+    def signed(docs: list[str], h: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        signature = scheme.signature(h, row, len(docs))
+        s1, s2 = scheme.sketch(signature)
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(s1), pa.array(s2), lists(scheme.keys(signature).ravel(), np.repeat(np.arange(len(docs)), scheme.bands), len(docs))], ["doc", "s1", "s2", "keys"])
+
+    held: str | None = None
+    held_h = np.empty(0, np.uint64)
     for batch in batches:
+        if not batch.num_rows:
+            continue
         values, offsets = ragged(batch.column("least"))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        signature = scheme.signature(*distinct(values, row), batch.num_rows)
-        s1, s2 = scheme.sketch(signature)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(s1), pa.array(s2), lists(scheme.keys(signature).ravel(), np.repeat(np.arange(batch.num_rows), scheme.bands), batch.num_rows)], ["doc", "s1", "s2", "keys"])
+        coded = batch.column("doc").dictionary_encode()
+        docs, row = coded.dictionary.to_pylist(), np.repeat(np.asarray(coded.indices).astype(np.int64), np.diff(offsets))
+        if held is not None:
+            if docs[0] != held:
+                docs, row = [held, *docs], row + 1
+            values, row = np.concatenate((held_h, values)), np.concatenate((np.zeros(len(held_h), np.int64), row))
+        h, row = distinct(values, row)
+        bin_ = h >> scheme.shift
+        first = np.ones(len(h), bool)
+        first[1:] = (bin_[1:] != bin_[:-1]) | (row[1:] != row[:-1])
+        h, row = h[first], row[first]
+        last = row == len(docs) - 1
+        held, held_h = docs[-1], h[last]
+        if len(docs) > 1:
+            yield signed(docs[:-1], h[~last], row[~last])
+    if held is not None:
+        yield signed([held], held_h, np.zeros(len(held_h), np.int64))
 
 
 def _shingled(batches, n: int):
@@ -160,9 +184,8 @@ class HistoryCheck:
         docs = written(own.join(over, "doc", "left").select("doc", F.xxhash64("n", F.pmod(F.col("own") + F.coalesce("over", F.lit(0)), modulus)).alias("text")))
         # one document stands for its text
         stand = docs.groupBy("text").agg(F.min("doc").alias("doc"))
-        bins = scanned.where("least is not null").select("doc", F.explode("least").alias("h")).unionAll(cross.select("doc", F.explode("least").alias("h")))
-        bins = bins.groupBy("doc", F.shiftrightunsigned("h", int(self.scheme.shift)).alias("bin")).agg(F.min("h").alias("h"))
-        signed = bins.groupBy("doc").agg(F.collect_list("h").alias("least")).mapInArrow(partial(_keys, scheme=self.scheme), "doc string, s1 long, s2 long, keys array<long>")
+        partial_rows = scanned.where("least is not null").select("doc", "least").unionAll(cross.select("doc", "least"))
+        signed = partial_rows.repartition("doc").sortWithinPartitions("doc").mapInArrow(partial(_merge, scheme=self.scheme), "doc string, s1 long, s2 long, keys array<long>")
         return docs, written(signed.join(stand, "doc")), joints
 
     def _sets(self, chunks: DataFrame, joints: DataFrame, wanted: DataFrame) -> DataFrame:
