@@ -8,8 +8,10 @@ from .distinctive import query_keywords, term_scores
 from .history import HistoryCheck
 from .language import LanguageSearch, label_code, long_enough
 from .leakage import LeakageSearch
+from .markup import clean_markup
 from .mixing import Mixture
 from .neardup import NearDuplicates
+from .scans import ScanRepair
 from .sentences import split_sentences
 from .split import split_oversized
 
@@ -25,6 +27,14 @@ def p1_status(spark: SparkSession, d: str) -> DataFrame:
     return found.select("record_id", "earlier_record_id", F.when(F.col("earlier_record_id").isNull(), "new").otherwise("repeat").alias("outcome"))
 
 
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_markup(table(spark, d, "chunks"), "chunk_id", "chunk_text").select(F.col("id").alias("chunk_id"), "clean_text", "markups")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_clean(spark, d).select("chunk_id", F.explode("markups").alias("markup"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = NearDuplicates(shingle=3, similarity=0.6, min_words=30)
     return near.pairs(table(spark, d, "chunks"), "chunk_id", "chunk_text").select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
@@ -64,6 +74,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(spoken, "chunk_id", "chunk_text", texts=False).select(F.col("id").alias("chunk_id"), "start_pos")
 
 
+def _scans(spark: SparkSession, d: str) -> ScanRepair:
+    return ScanRepair(table(spark, d, "chunks"), "chunk_id", "chunk_text", F.col("metadata.page_start"), F.col("metadata.page_end"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).noise().select(F.col("id").alias("chunk_id"), "noise")
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).repaired().select(F.col("id").alias("chunk_id"), "repaired")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     met = LeakageSearch(table(spark, d, "eval_passages")).search(table(spark, d, "documents"))
     return met.where("verbatim > 0").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -108,5 +130,5 @@ def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return LanguageSearch(docs).languages(docs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_status, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_keywords, p5_terms, p6_found, p6_sentences, p8_found, p8_templates, p9_found, p9_shares, p9_plan, p10_found, p10_stretches, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_status, p2_found, p2_clean, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_keywords, p5_terms, p6_found, p6_sentences, p7_found, p7_repaired, p8_found, p8_templates, p9_found, p9_shares, p9_plan, p10_found, p10_stretches, p10_languages)}
 ORACLES: dict[str, str] = {}
