@@ -4,6 +4,8 @@ A real model is passed as a function from a text column to a vector column, such
 per worker; everything else stays as it is.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,24 @@ from . import lexical
 DIMENSIONS = 64
 
 
-def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
+@F.arrow_udf("array<double>")
+def _unit_counts(buckets: pa.Array) -> pa.Array:
+    """Counts of bucket numbers as vectors of unit length, a whole batch at once; NULL for an empty list."""
+    if isinstance(buckets, pa.ChunkedArray):
+        buckets = buckets.combine_chunks()
+    lengths = np.asarray(buckets.value_lengths().fill_null(0), np.int64)
+    at = np.repeat(np.arange(len(lengths)), lengths) * DIMENSIONS + np.asarray(buckets.flatten(), np.int64)
+    counts = np.bincount(at, minlength=len(lengths) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(float)
+    norm = np.sqrt((counts**2).sum(axis=1))
+    kept = norm > 0
+    offsets = np.concatenate(([0], np.cumsum(kept * DIMENSIONS))).astype(np.int32)
+    values = (counts[kept] / norm[kept, None]).ravel()
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~kept, False)), pa.array(values))
+
+
+def hashed_vector(text: Column) -> Column:
     """Counts of the text's terms by hash bucket, divided by their length; NULL for a text without terms."""
-    buckets = F.transform(lexical.terms(text), lambda t: (F.conv(F.left(F.md5(t), F.lit(7)), 16, 10).cast("int") % dimensions))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(F.size(buckets) > 0, F.transform(counts, lambda x: x / norm))
+    return _unit_counts(F.transform(lexical.terms(text), lambda t: F.conv(F.left(F.md5(t), F.lit(7)), 16, 10).cast("int") % DIMENSIONS))
 
 
 def valid_chunks(df: DataFrame, text_col: str) -> DataFrame:
