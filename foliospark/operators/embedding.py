@@ -8,13 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexical
 
 DIMENSIONS = 64
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _unit_counts(buckets: pa.Array) -> pa.Array:
     """Counts of bucket numbers as vectors of unit length, a whole batch at once; NULL for an empty list."""
     if isinstance(buckets, pa.ChunkedArray):
