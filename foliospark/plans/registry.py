@@ -522,6 +522,19 @@ def bm25_filtered(spark, d):
     return lexical.topk(_queries(spark, d), course, "query_id", "query", "chunk_id", "chunk_text", 8).select("query_id", "id", "score", "rank")
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_index_topk(spark, d):
+    """The same through an index that is saved, found stale or fresh, and opened again."""
+    import uuid
+
+    from ..operators.lexical_index import LexicalIndex
+    from ..session import shared_dir
+
+    index = LexicalIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.ensure(_texts(spark, d), "chunk_id", "chunk_text", "all")
+    return index.search(_queries(spark, d), "query_id", "query", 8).select("query_id", "id", "score", "rank")
+
+
 _R = "r as (select distinct run_id, query_id, pipeline, result_rank, chunk_id, dense_score_norm, bm25_score_norm, hybrid_score from retrieval_results)"
 
 
@@ -800,3 +813,30 @@ def fingerprint(spark, d):
 def embed_chunks(spark, d):
     """G0, P9, P22."""
     return embedding.embed(_texts(spark, d), "chunk_text").select("chunk_id", "embedding_model", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query()
+def eval_run(spark, d):
+    """All queries in all pipelines, with scores and top sources."""
+    from .evaluate import pipeline_keys, records, results
+
+    q = table(spark, d, "queries")
+    return records(results(q, _chunks(spark, d), pipeline_keys("all")), q).select("query_id", "pipeline", "grp", F.round("retrieval_score", 6).alias("retrieval_score"), F.array_join("top_chunk_ids", ",").alias("top_chunk_ids"))
+
+
+@query()
+def ab_test(spark, d):
+    """Two chunk sizes over all documents."""
+    from .evaluate import compare_chunkings
+
+    return compare_chunkings(table(spark, d, "documents"), table(spark, d, "queries"), "doc_id", "text")
+
+
+@query("select distinct record_id, nullif(file_hash, '') as file_hash, coalesce(course, '') as course from ingestion_manifest where regexp_matches(lower(path), '\\.(pdf|txt|md)\\z') and not starts_with(string_split(path, '/')[-1], '.')")
+def supported_files(spark, d):
+    """The deliveries of supported kinds."""
+    from ..sources.files import EXTENSIONS
+
+    rows = table(spark, d, "ingestion_manifest")
+    keep = P.extension(F.col("path")).isin(*EXTENSIONS) & ~P.file_name(F.col("path")).startswith(".")
+    return store.missing_as_empty(rows.where(keep), ["course"]).select("record_id", F.nullif("file_hash", F.lit("")).alias("file_hash"), "course").distinct()

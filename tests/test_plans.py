@@ -134,3 +134,54 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_saved_index(spark, tmp_path):
+    from foliospark.operators import lexical
+    from foliospark.operators.lexical_index import LexicalIndex
+
+    docs = spark.createDataFrame([("a", "least squares regression"), ("b", "nearest neighbour"), ("c", None)], "id string, t string")
+    q = spark.createDataFrame([("q", "squares regression")], "query_id string, query string")
+    index = LexicalIndex(spark, f"file://{tmp_path}/i")
+    assert index.search(q, "query_id", "query", 2).count() == 0 and index.ensure(docs.where("false"), "id", "t", "f") == "empty"
+    assert [index.ensure(docs, "id", "t", f) for f in ("f", "f", "g")] == ["built", "kept", "built"]
+    key = lambda df: sorted((r.id, r.score, r["rank"]) for r in df.collect())
+    assert key(index.search(q, "query_id", "query", 3)) == key(lexical.topk(q, docs, "query_id", "query", "id", "t", 3))
+    for f in (tmp_path / "i/stats").iterdir():
+        f.unlink()
+    assert index.ensure(docs, "id", "t", "g") == "built"
+
+
+def test_evaluation_run(spark):
+    from datetime import datetime
+
+    from foliospark.plans import evaluate
+
+    assert evaluate.pipeline_keys("hybrid, Dense+Reranker,hybrid") == ["dense_reranker", "hybrid"] and len(evaluate.pipeline_keys(None)) == 4
+    with pytest.raises(ValueError):
+        evaluate.pipeline_keys("sparse")
+    assert evaluate.run_id(datetime(2024, 1, 2, 3, 4, 5), " My Run! ") == "2024-01-02_030405_my-run"
+    assert evaluate.git_state("/")["branch"] == "unknown" and set(evaluate.git_state()) == {"branch", "commit", "dirty"}
+    q = spark.read.parquet(f"{SMALL}/queries.parquet").limit(4)
+    rows, summary, about = evaluate.run(q, registry._chunks(spark, SMALL), "dense,hybrid", "full", None, 2)
+    got = evaluate.artifact(rows, about).collect()
+    assert len(got) == 4 and all(r.answer and 0 <= r.generation_score <= 1 and len(r.top_chunk_ids) == 3 for r in got)
+    assert summary.count() == 12
+
+
+def test_service_and_command_line(spark, tmp_path):
+    from foliospark.__main__ import parser
+    from foliospark.plans.service import Service
+    from foliospark.sources.log import logger
+
+    s = Service(spark, lambda: registry._chunks(spark, SMALL))
+    assert s.health_check()["status"] == "ok" and s.collection_stats()["rows"][0]["chunk_count"] > 0
+    assert s.search_notes(" ")["warnings"] and len(s.search_notes("the kernel variance", top_k=2)["rows"]) == 2
+    assert s.list_indexed_documents(course="none")["rows"] == []
+    broken = Service(spark, lambda: 1 / 0)
+    assert broken.health_check()["status"] == "error" and broken.collection_stats()["warnings"]
+    assert parser().parse_args(["query", "-q", "x"]).query == "x"
+    with pytest.raises(SystemExit):
+        parser().parse_args(["ingest"])
+    log = logger("foliospark.test", str(tmp_path / "x/a.log"))
+    assert logger("foliospark.test") is log and len(log.handlers) == 2
