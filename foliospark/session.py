@@ -38,7 +38,19 @@ def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, least_bytes: int = 1_000_000) -> DataFrame:
+    """A scan of so few pieces that most cores would idle, spread over all of them; any other scan, and tiny ones, as they are.
+
+    Large tables come in more pieces than there are cores and are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < least_bytes or df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
 
 
 def strip(c: Column) -> Column:
