@@ -125,10 +125,12 @@ class NearDuplicates:
         """(id, class_id, copies, links): each record with enough words; class_id is the least id of its group, links the number of other texts that its text reaches, copies the ids with the very same words."""
         signatures = self.signatures(df, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
         found = self.text_pairs(signatures).persist(StorageLevel.MEMORY_AND_DISK)
-        member = signatures.select("id", "fp").distinct()
-        links = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-        root = components(found).select(F.col("node").alias("fp"), "root")
+        member = signatures.select("id", "fp").repartition("fp").dropDuplicates(["fp", "id"]).persist(StorageLevel.MEMORY_AND_DISK)
         text = member.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-        text = text.join(root, "fp", "left").join(links, "fp", "left").select("fp", "copies", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "least")
-        first = text.groupBy("root").agg(F.min("least").alias("class_id"))
-        return member.join(text.drop("least").join(first, "root"), "fp").select("id", "class_id", "copies", "links")
+        links = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
+        # only texts with a link have a group beyond their copies
+        linked = components(found).select(F.col("node").alias("fp"), "root").join(text.select("fp", "least"), "fp")
+        first = linked.groupBy("root").agg(F.min("least").alias("class_id"))
+        classes = linked.join(first, "root").select("fp", "class_id").join(links, "fp")
+        out = member.join(text, "fp").join(classes, "fp", "left")
+        return out.select("id", F.coalesce("class_id", "least").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
