@@ -130,10 +130,13 @@ class BandIndex:
     def read(self) -> DataFrame:
         return self.spark.read.schema("text long, key long, part int").parquet(self.path)
 
+    def keys(self, signatures: DataFrame, text: str = "text") -> DataFrame:
+        """(new, key, part): the keys of new texts, with the partitions they fall in."""
+        return signatures.select(F.col(text).alias("new"), F.explode("keys").alias("key")).withColumn("part", F.pmod("key", F.lit(self.partitions)).cast("int"))
+
     def probe(self, signatures: DataFrame, text: str = "text") -> DataFrame:
         """(new, key, text): stored texts in the buckets of the new ones."""
-        rows = signatures.select(F.col(text).alias("new"), F.explode("keys").alias("key")).withColumn("part", F.pmod("key", F.lit(self.partitions)).cast("int"))
-        return rows.join(self.read(), ["part", "key"]).select("new", "key", "text")
+        return self.keys(signatures, text).join(self.read(), ["part", "key"]).select("new", "key", "text")
 
 
 class HistoryCheck:
@@ -200,19 +203,20 @@ class HistoryCheck:
         In each bucket a new text first meets the bucket's few earliest accepted texts; only where none of these is
         similar does it meet the others, so the earliest similar text is always found and a hot bucket costs little.
         """
-        spark = chunks.sparkSession
-        index = BandIndex(spark)
+        index = BandIndex(chunks.sparkSession)
         index.append(signatures.join(old.select("text"), "text", "left_semi"))
-        rank = F.row_number().over(W.partitionBy("new", "key").orderBy("first"))
-        met = index.probe(signatures.join(new, "text", "left_semi")).where("new <> text").join(old, "text").withColumn("rank", rank)
-        met = written(met)
-        one = self._verified(met.where(F.col("rank") <= self.wave).select("new", "text").distinct(), chunks, joints, signatures)
-        later = met.where(F.col("rank") > self.wave)
-        if later.isEmpty():
+        rank = F.row_number().over(W.partitionBy("part", "key").orderBy("first", "text"))
+        held = index.read().join(old, "text").withColumn("rank", rank).persist(StorageLevel.MEMORY_AND_DISK)
+        asked = index.keys(signatures.join(new, "text", "left_semi"))
+        met = written(asked.join(held.where(F.col("rank") <= self.wave), ["part", "key"]).where("new <> text").select("part", "key", "new", "text"))
+        one = self._verified(met.select("new", "text").distinct(), chunks, joints, signatures)
+        behind = held.where(F.col("rank") > self.wave).select("part", "key", "text")
+        open_ = asked.join(behind.select("part", "key").distinct(), ["part", "key"], "left_semi")
+        if open_.isEmpty():
             return one
         one = written(one)
-        settled = met.where(F.col("rank") <= self.wave).join(one, ["new", "text"], "left_semi").select("new", "key").distinct()
-        rest = later.join(settled, ["new", "key"], "left_anti").select("new", "text").distinct()
+        settled = met.join(one, ["new", "text"], "left_semi").select("part", "key", "new").distinct()
+        rest = open_.join(settled, ["part", "key", "new"], "left_anti").join(behind, ["part", "key"]).where("new <> text").select("new", "text").distinct()
         return one.unionAll(self._verified(rest, chunks, joints, signatures)).distinct()
 
     def _verified(self, pairs: DataFrame, chunks: DataFrame, joints: DataFrame, signatures: DataFrame) -> DataFrame:
