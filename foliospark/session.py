@@ -1,7 +1,12 @@
 """What operators need from a session: the shared folder, and the size checks that guard broadcasts."""
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +42,29 @@ def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once a Spark application, unless they find it by themselves."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _shipped or any(p and Path(p).resolve() == root for p in seen):
+        return
+    _shipped.add(sc.applicationId)
+    # the driver serves the file as long as the application runs
+    folder = tempfile.mkdtemp(prefix="foliospark-")
+    atexit.register(shutil.rmtree, folder, True)
+    file = f"{folder}/foliospark-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for f in sorted((root / "foliospark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(file)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
