@@ -205,15 +205,21 @@ class HistoryCheck:
         """
         index = BandIndex(chunks.sparkSession)
         index.append(signatures.join(old.select("text"), "text", "left_semi"))
-        rank = F.row_number().over(W.partitionBy("part", "key").orderBy("first", "text"))
-        held = index.read().join(old, "text").withColumn("rank", rank).persist(StorageLevel.MEMORY_AND_DISK)
         asked = index.keys(signatures.join(new, "text", "left_semi"))
-        met = written(asked.join(held.where(F.col("rank") <= self.wave), ["part", "key"]).where("new <> text").select("part", "key", "new", "text"))
+        rows = index.read()
+        big = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > self.wave).select("part", "key").persist(StorageLevel.MEMORY_AND_DISK)
+        hot = not big.isEmpty()
+        first = behind = rows
+        if hot:
+            rank = F.row_number().over(W.partitionBy("part", "key").orderBy("first", "text"))
+            ranked = rows.join(big, ["part", "key"], "left_semi").join(old, "text").withColumn("rank", rank).persist(StorageLevel.MEMORY_AND_DISK)
+            first = rows.join(big, ["part", "key"], "left_anti").unionByName(ranked.where(F.col("rank") <= self.wave).select(*rows.columns))
+            behind = ranked.where(F.col("rank") > self.wave).select("part", "key", "text")
+        met = written(asked.join(first, ["part", "key"]).where("new <> text").select("part", "key", "new", "text"))
         one = self._verified(met.select("new", "text").distinct(), chunks, joints, signatures)
-        behind = held.where(F.col("rank") > self.wave).select("part", "key", "text")
-        open_ = asked.join(behind.select("part", "key").distinct(), ["part", "key"], "left_semi")
-        if open_.isEmpty():
+        if not hot:
             return one
+        open_ = asked.join(big, ["part", "key"], "left_semi")
         one = written(one)
         settled = met.join(one, ["new", "text"], "left_semi").select("part", "key", "new").distinct()
         rest = open_.join(settled, ["part", "key", "new"], "left_anti").join(behind, ["part", "key"]).where("new <> text").select("new", "text").distinct()
