@@ -186,7 +186,7 @@ def test_furniture(line, page, wanted):
     assert S.furniture(line, page, page) == wanted
 
 
-def test_scans(spark):
+def test_scans(spark, monkeypatch):
     good = "The regular matrix shows a half-open view of the garden. A half-open door is shown."
     bad = "Unit 3 | The garden\nThe rcgular rnatrix sh0ws a half-\nopen view of the gar-\nden. A half-open door is shown.\n7"
     rows = [(f"g{i}", good, None, None) for i in range(30)] + [("x", bad, 7, 7), ("x", bad, 7, 7), ("n", None, 1, 1), ("e", "", 1, 1), ("s", "One mistake in tbe\nlines.", 1, 1)]
@@ -195,6 +195,8 @@ def test_scans(spark):
     assert {(r.id, r.noise) for r in scan.noise().collect()} == {("x", k) for k in ("header", "hyphenation", "misread", "page_number")}
     out = {r.id: r.repaired for r in scan.repaired().collect()}
     assert out["x"] == good and out["g1"] == good and out["n"] is None and out["e"] == ""
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)  # the way for collections with many misread words
+    assert {r.id: r.repaired for r in scan.repaired().collect()} == out
     empty = S.ScanRepair(df.where("false"), "id", "t", F.col("a"), F.col("b"))
     assert empty.noise().count() == 0 and empty.repaired().count() == 0
 
