@@ -12,6 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ class LeakageSearch:
         base = corpus.select(F.col(id_col).alias("id"), coded_words(F.col(text_col)).alias("w")).where("id is not null")
         mine = self._map(base, kind, self.known).withColumnsRenamed({"id": "doc", "exact": "e1", "slots": "s1"})
         theirs = self.passages.select(F.col("id").alias("item"), "template", F.col("exact").alias("e2"), F.col("slots").alias("s2")).distinct()
-        met = mine.join(maybe_broadcast(theirs), "template")
+        met = mine.join(maybe_broadcast(theirs), "template").persist(StorageLevel.MEMORY_AND_DISK)
         whole = met.groupBy("doc", "item").agg(F.count_distinct(F.when(F.col("e1") == F.col("e2"), F.col("e1"))).alias("verbatim"), F.count_distinct("template").alias("windows"), F.max(self.window - F.col("n_slots")).alias("literal"))
         slots = met.select("doc", "item", F.explode(F.arrays_zip("s1", "s2")).alias("z")).select("doc", "item", F.col("z.s1").alias("x"), F.col("z.s2").alias("y")).distinct()
         one = slots.groupBy("doc", "item").agg(F.count("*").alias("n"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny")).select("doc", "item", ((F.col("n") == F.col("nx")) & (F.col("n") == F.col("ny"))).alias("consistent"))
