@@ -1,4 +1,4 @@
-"""Near-duplicate records with small edits: one-permutation hashing, banded buckets, star-shaped candidates.
+"""Near-duplicate records with small edits: one-permutation hashing, banded buckets, all pairs of a bucket as candidates.
 
 Nulls, blank and short texts (under min_words words) have no shingles and repeat nothing. Rows repeated with the
 same id count once. An empty table gives an empty result. Other columns are ignored. Texts are taken whole.
@@ -9,16 +9,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
 from .components import components
-from .hashing import Scheme, distinct, fingerprints, lists, mix64, ragged, shingles, sketch_slack, word_hashes
+from .hashing import Scheme, distinct, fingerprints, lists, ragged, shingles, sketch_slack, word_hashes
 
-#: Rows of one band key in one batch from which the key counts as hot, and over how many groups its rows are spread.
-HOT, SPREAD = 64, 16
+#: Texts of a bucket up to which its pairs are written at once. The texts of a larger one are cut into blocks, which meet in tasks of their own.
+HOT, BLOCK = 16, 2048
 
 
 def _sign(batches, scheme: Scheme, shingle: int, min_words: int):
@@ -44,27 +43,55 @@ def _sign(batches, scheme: Scheme, shingle: int, min_words: int):
         )
 
 
-def _bands(batches, hot: int, spread: int):
-    """A row for each band key and text. A key that is hot in the batch has its rows spread over groups of their own keys;
-    the first of them, its anchor, is in every group, written as the complement of its text so that it sorts first."""
+def _buckets(batches, hot: int, block: int):
+    """From different (key, fp) in order: all pairs (a, b), a < b, of each bucket of up to hot texts; of a larger one each text with its key and block. Only the last bucket is carried on, hot texts of it at most."""
+
+    def pairs(start: np.ndarray, count: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        left = np.repeat(start + count, count) - at - 1
+        a = np.repeat(at, left)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32()), pa.array(fp[a]), pa.array(fp[b])], ["key", "block", "a", "b"])
+
+    none = np.empty(0, np.int64)
+    key, fp = none, none
+    seen, last = 0, (0, 0)  # of a large bucket: the texts written, the last row
     for batch in batches:
-        key, offsets = ragged(batch.column("keys"))
-        fp = np.repeat(np.asarray(batch.column("fp")), np.diff(offsets))
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
-        _, start, count = np.unique(key, return_index=True, return_counts=True)
-        group = np.where(np.repeat(count > hot, count), 1 + fp % spread, 0).astype(np.uint64)
-        anchors = np.repeat(start[count > hot], spread + 1)
-        more = np.tile(np.arange(spread + 1, dtype=np.uint64), len(anchors) // (spread + 1))
-        key = np.concatenate((key + mix64(group) * (group > 0), key[anchors] + mix64(more) * (more > 0)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate((fp, ~fp[anchors])))], ["key", "fp"])
+        key, fp = np.concatenate((key, np.asarray(batch.column("key")))), np.concatenate((fp, np.asarray(batch.column("fp"))))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+        if seen and len(key) and (key[0], fp[0]) == last:
+            fresh[0] = False
+        key, fp = key[fresh], fp[fresh]
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.concatenate((start, [len(key)])))
+        large, before = count > hot, np.zeros(len(start), np.int64)
+        if seen and key[0] == last[0]:
+            large[0], before[0] = True, seen
+        many = np.repeat(large, count)
+        place = (np.arange(len(key)) - np.repeat(start - before, count))[many]
+        if len(place):
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array((place // block).astype(np.int32)), pa.array(fp[many]), pa.nulls(len(place), pa.int64())], ["key", "block", "a", "b"])
+        done = ~large
+        done[-1] = False
+        yield pairs(start[done], count[done], fp)
+        if large[-1]:
+            seen, last = int(before[-1] + count[-1]), (key[-1], fp[-1])
+            key, fp = none, none
+        else:
+            seen = 0
+            key, fp = key[start[-1] :], fp[start[-1] :]
+    if len(key):
+        yield pairs(np.array([0]), np.array([len(key)]), fp)
 
 
 class NearDuplicates:
     """Pairs and groups of records whose sets of word shingles have at least the given similarity (Jaccard)."""
 
-    def __init__(self, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = 32, rows: int = 4, hot: int = HOT):
-        self.shingle, self.similarity, self.min_words, self.hot = shingle, similarity, min_words, hot
+    def __init__(self, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = 32, rows: int = 4, hot: int = HOT, block: int = BLOCK):
+        self.shingle, self.similarity, self.min_words, self.hot, self.block = shingle, similarity, min_words, hot, block
         self.scheme = Scheme(bands, rows)
 
     def signatures(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -73,20 +100,25 @@ class NearDuplicates:
         given = df.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("wh")).where("id is not null")
         return given.mapInArrow(partial(_sign, scheme=self.scheme, shingle=self.shingle, min_words=self.min_words), f"id {kind}, fp long, size int, s1 long, s2 long, lead boolean, keys array<long>, sh array<long>")
 
-    def stars(self, signatures: DataFrame) -> DataFrame:
-        """(hub, fp): in every bucket, each text and the bucket's hub. A bucket of m texts gives m - 1 edges."""
-        rows = signatures.where("lead").select("fp", "keys").mapInArrow(partial(_bands, hot=self.hot, spread=SPREAD), "key long, fp long")
-        bucket = W.partitionBy("key").orderBy("fp").rowsBetween(W.unboundedPreceding, W.currentRow)
-        text = lambda c: F.greatest(c, F.bitwise_not(c))
-        return rows.select(text(F.col("fp")).alias("fp"), text(F.first("fp").over(bucket)).alias("hub")).where("hub <> fp").distinct()
-
-    def _plausible(self, edges: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
-        """Edges whose sizes and sketches allow the similarity."""
-        x = texts.select(F.col("fp").alias(a), F.col("size").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-        y = texts.select(F.col("fp").alias(b), F.col("size").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    def _near(self) -> Column:
+        """Whether sizes and sketches of a row's two texts allow the similarity."""
         far = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-        sized = F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb")
-        return edges.join(x, a).join(y, b).where(sized & (far <= sketch_slack(self.similarity))).select(a, b)
+        return (F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb")) & (far <= sketch_slack(self.similarity))
+
+    def candidates(self, signatures: DataFrame) -> DataFrame:
+        """(a, b), a < b: all pairs of different texts that share a bucket and whose sizes and sketches allow the similarity."""
+        texts = signatures.where("lead").groupBy("fp").agg(F.first("size").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+        x = texts.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+        y = texts.select(F.col("fp").alias("b"), F.col("size").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+        rows = signatures.where("lead").select("fp", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+        met = rows.mapInArrow(partial(_buckets, hot=self.hot, block=self.block), "key long, block int, a long, b long").persist(StorageLevel.MEMORY_AND_DISK)
+        few = met.where("key is null").select("a", "b").distinct().join(x, "a").join(y, "b").where(self._near()).select("a", "b")
+        # in order of a bucket, so that a text meets the blocks up to its own
+        crowd = met.where("key is not null").select("key", "block", "a")
+        left = crowd.join(x, "a")
+        right = crowd.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("block"), F.col("a").alias("b")).join(y, "b")
+        many = left.join(right, ["key", "block"]).where(F.col("a") < F.col("b")).where(self._near()).select("a", "b")
+        return few.unionAll(many).distinct()
 
     def _exact(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that reach it, by their whole sets of shingles."""
@@ -97,19 +129,8 @@ class NearDuplicates:
         return joined.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= self.similarity)
 
     def text_pairs(self, signatures: DataFrame) -> DataFrame:
-        """(a, b, similarity) over different texts, a < b.
-
-        Two texts that share a bucket are both on its hub's star, so a pair is an edge of a star or two edges
-        with one hub; both kinds are candidates, and every candidate is verified exactly. Two hops are taken over hubs near
-        enough that the triangle inequality makes most of their pairs real ones.
-        """
-        texts = signatures.where("lead").groupBy("fp").agg(F.first("size").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-        stars = self.stars(signatures)
-        near = self._plausible(stars, texts, "hub", "fp").persist(StorageLevel.MEMORY_AND_DISK)
-        one = near.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
-        two = near.select("hub", F.col("fp").alias("a")).join(near.select("hub", F.col("fp").alias("b")), "hub").where("a < b").select("a", "b").distinct()
-        pairs = one.unionAll(self._plausible(two, texts, "a", "b")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-        return self._exact(pairs, signatures)
+        """(a, b, similarity) over different texts, a < b. Every candidate is verified exactly."""
+        return self._exact(self.candidates(signatures).persist(StorageLevel.MEMORY_AND_DISK), signatures)
 
     def pairs(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id_a, id_b): every pair of different ids, smaller first, whose texts reach the similarity; copies give all their pairs."""

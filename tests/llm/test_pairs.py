@@ -57,6 +57,25 @@ def test_hot_copies_and_groups(spark):
     assert got["h000"].copies == 150 and got["h000"].links == len({x for _, x in rows[:-1]}) - 1 and got["other"].links == 0
 
 
+@pytest.mark.parametrize("hot, block", [(16, 2048), (4, 16)])
+def test_every_pair_of_a_bucket_is_met(spark, hot, block):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(250):
+        n = rng.randint(30, 102)
+        at = rng.randint(0, len(base) - n)
+        rows.append((i, " ".join(base[at : at + n])))
+    df = spark.createDataFrame(rows, "id long, t string")
+    near = NearDuplicates(shingle=3, similarity=0.6, hot=hot, block=block)
+    keys = {r.id: set(r["keys"]) for r in near.signatures(df, "id", "t").collect()}
+    keys = {i: keys[i] or next(keys[j] for j, x in rows if x == t and keys[j]) for i, t in rows}
+    sets = {i: shingles(t, 3)[0] for i, t in rows}
+    wanted = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6 and keys[a] & keys[b]}
+    got = {tuple(r) for r in near.pairs(df, "id", "t").collect()}
+    assert len(wanted) > 3000 and got == wanted, (len(wanted), len(wanted - got), len(got - wanted))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id string, t string")
     assert NearDuplicates().pairs(none, "id", "t").count() == 0 and NearDuplicates().groups(none, "id", "t").count() == 0
