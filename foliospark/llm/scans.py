@@ -211,7 +211,7 @@ def _found(batches, compounds: set[str]):
 def repair(text: str, start: int | None, end: int | None, fixes: dict, compounds: set[str]) -> str:
     """Continuous paragraphs: no page furniture, words whole and corrected, lines joined. fixes: by word, and by (word before, word) where that decides."""
     text = text.replace("\r\n", "\n")
-    if "\n" in text:
+    if "\n" in text or len(text) <= 120:
         lines = [line.rstrip() for line in text.split("\n")]
         text = "\n".join(line for line in lines if not any(furniture(line, start, end)))
         for _ in range(2):
@@ -307,13 +307,13 @@ class ScanRepair:
     def repaired(self) -> DataFrame:
         """(id, repaired): the text of every chunk as continuous paragraphs."""
         best = F.max("count").over(W.partitionBy("word"))
-        # far rarer candidates are mostly misread themselves
-        choice = self.misread.where("right is not null").withColumn("most", best).where(F.col("count") * RATIO >= F.col("most")).drop("most").persist(StorageLevel.MEMORY_AND_DISK)
+        # far rarer candidates are mostly misread themselves: they come last where context doesn't decide
+        choice = self.misread.where("right is not null").withColumn("likely", F.col("count") * RATIO >= best).persist(StorageLevel.MEMORY_AND_DISK)
         many = choice.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
         open_ = choice.join(maybe_broadcast(many), "word", "left_semi")
         follows = self._followed(open_.select("right").distinct()).groupBy("prev", F.col("word").alias("right")).agg(F.count("*").alias("times"))
-        first = choice.groupBy("word").agg(F.max_by("right", F.struct(-F.col("cost"), "count", "right")).alias("right"))
-        decided = follows.join(maybe_broadcast(open_), "right").groupBy("prev", "word").agg(F.max_by("right", F.struct("times", -F.col("cost"), "count", "right")).alias("right")).persist(StorageLevel.MEMORY_AND_DISK)
+        first = choice.groupBy("word").agg(F.max_by("right", F.struct("likely", -F.col("cost"), "count", "right")).alias("right"))
+        decided = follows.join(maybe_broadcast(open_), "right").groupBy("prev", "word").agg(F.max_by("right", F.struct("times", "likely", -F.col("cost"), "count", "right")).alias("right")).persist(StorageLevel.MEMORY_AND_DISK)
         small = [df.limit(BROADCAST_ROWS + 1).collect() for df in (first, decided)]
         shape = f"id {self.kind}, repaired string"
         if max(map(len, small)) <= BROADCAST_ROWS:

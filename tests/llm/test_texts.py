@@ -201,6 +201,15 @@ def test_scans(spark, monkeypatch):
     assert empty.noise().count() == 0 and empty.repaired().count() == 0
 
 
+def test_rare_candidates_are_ranked_by_context(spark):
+    rows = [(f"l{i}", "The flat roof is old.") for i in range(300)] + [(f"i{i}", "They ruled by fiat alone.") for i in range(20)]
+    rows += [("x", "They ruled by f1at alone."), ("y", "The f1at roof is old."), ("z", "Some f1at is old."), ("p", "Page 12"), ("h", "Unit 3 | The garden"), ("q", "Page 13")]
+    df = spark.createDataFrame([(*r, 12, 12) for r in rows], "id string, t string, a int, b int")
+    out = {r.id: r.repaired for r in S.ScanRepair(df, "id", "t", F.col("a"), F.col("b")).repaired().collect()}
+    assert (out["x"], out["y"], out["z"]) == ("They ruled by fiat alone.", "The flat roof is old.", "Some flat is old.")
+    assert (out["p"], out["h"], out["q"]) == ("", "", "Page 13")
+
+
 def test_mixture(spark):
     docs = [(i, "word " * 20, " Big ") for i in range(300)] + [(1000 + i, "word " * 20, "small") for i in range(10)] + [(2000, None, "small"), (2001, "x", None), (None, "x", "big"), (2002, "x", "other")]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
