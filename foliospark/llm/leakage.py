@@ -2,7 +2,7 @@
 
 Words are canonicalised: numbers, names and units become typed placeholders. Windows of canonical words are hash-joined
 with those of the passages; a joined window is verbatim where its slots hold the same words too, and a passage is
-re-parameterised where its slots map one to one onto others throughout the document.
+re-parameterised where its slots map one to one onto others throughout a run, the windows of one offset between the two.
 
 Defined cases: NULL texts and ids take no part; texts under the window length hold nothing; repeated rows count once;
 invisible characters are removed before words are read; empty tables give empty results. Texts are taken whole.
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import maybe_broadcast
@@ -38,7 +39,7 @@ def coded_words(text: Column) -> Column:
 
 
 def _windows(batches, n: int, plain: np.ndarray, names: np.ndarray, units: np.ndarray, known: np.ndarray | None):
-    """Each window's template hash, verbatim hash and slot words. known: ascending template hashes that are wanted, None for all."""
+    """Each window's template hash, verbatim hash, place and slot words. known: ascending template hashes that are wanted, None for all."""
     for batch in batches:
         values, offsets = ragged(batch.column("w"))
         word = values & ~np.uint64(3)
@@ -61,8 +62,8 @@ def _windows(batches, n: int, plain: np.ndarray, names: np.ndarray, units: np.nd
         slot = (number | unit | name)[at] if len(start) else np.zeros((0, n), bool)
         held = word[at[slot]] if len(start) else np.empty(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(row)), pa.array(template.view(np.int64)), pa.array(exact.view(np.int64)), lists(held, np.nonzero(slot)[0], len(row)), pa.array(slot.sum(axis=1).astype(np.int32))],
-            ["id", "template", "exact", "slots", "n_slots"],
+            [batch.column("id").take(pa.array(row)), pa.array(template.view(np.int64)), pa.array(exact.view(np.int64)), lists(held, np.nonzero(slot)[0], len(row)), pa.array(slot.sum(axis=1).astype(np.int32)), pa.array(start - offsets[row])],
+            ["id", "template", "exact", "slots", "n_slots", "place"],
         )
 
 
@@ -88,20 +89,38 @@ class LeakageSearch:
 
     def _map(self, base: DataFrame, kind: str, known) -> DataFrame:
         fn = partial(_windows, n=self.window, plain=self.plain, names=self.names, units=self.units, known=known)
-        return base.mapInArrow(fn, f"id {kind}, template long, exact long, slots array<long>, n_slots int")
+        return base.mapInArrow(fn, f"id {kind}, template long, exact long, slots array<long>, n_slots int, place long")
+
+    def runs(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc, item, shift, verbatim, templates, literal, consistent) of each run: the windows that a document and a passage have in common at one shift of words.
+
+        verbatim: hashes of the windows that the document holds word for word, be it at another shift; templates: those equal as
+        templates; literal: words outside slots in the most literal of them; consistent: whether the slots map one to one over all of them.
+        """
+        kind = corpus.select(id_col).schema[0].dataType.simpleString()
+        base = corpus.select(F.col(id_col).alias("id"), coded_words(F.col(text_col)).alias("w")).where("id is not null")
+        mine = self._map(base, kind, self.known).withColumnsRenamed({"id": "doc", "exact": "e1", "slots": "s1", "place": "p1"})
+        theirs = self.passages.select(F.col("id").alias("item"), "template", F.col("exact").alias("e2"), F.col("slots").alias("s2"), F.col("place").alias("p2")).distinct()
+        met = mine.join(maybe_broadcast(theirs), "template").withColumn("shift", F.col("p1") - F.col("p2"))
+        # a copy that repeats itself meets its passage at other shifts too, where it is no template
+        copied = F.max(F.col("e1") == F.col("e2")).over(W.partitionBy("doc", "item", "p1"))
+        met = met.withColumn("copied", copied).persist(StorageLevel.MEMORY_AND_DISK)
+        key = ["doc", "item", "shift"]
+        whole = met.groupBy(*key).agg(F.collect_set(F.when(F.col("copied"), F.col("e1"))).alias("verbatim"), F.collect_set("template").alias("templates"), F.max(self.window - F.col("n_slots")).alias("literal"))
+        slots = met.select(*key, F.explode(F.arrays_zip("s1", "s2")).alias("z")).select(*key, F.col("z.s1").alias("x"), F.col("z.s2").alias("y")).distinct()
+        one = slots.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny")).select(*key, ((F.col("n") == F.col("nx")) & (F.col("n") == F.col("ny"))).alias("consistent"))
+        return whole.join(one, key, "left").withColumn("consistent", F.coalesce("consistent", F.lit(True)))
 
     def search(self, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc, item, verbatim, windows, literal, consistent) for each document and passage with a window in common.
 
         verbatim: windows equal word for word; windows: windows equal as templates; literal: words outside slots in
-        the most literal of them; consistent: whether the slots map one to one over all of them.
+        the most literal of them; consistent: whether any of their runs is.
         """
-        kind = corpus.select(id_col).schema[0].dataType.simpleString()
-        base = corpus.select(F.col(id_col).alias("id"), coded_words(F.col(text_col)).alias("w")).where("id is not null")
-        mine = self._map(base, kind, self.known).withColumnsRenamed({"id": "doc", "exact": "e1", "slots": "s1"})
-        theirs = self.passages.select(F.col("id").alias("item"), "template", F.col("exact").alias("e2"), F.col("slots").alias("s2")).distinct()
-        met = mine.join(maybe_broadcast(theirs), "template").persist(StorageLevel.MEMORY_AND_DISK)
-        whole = met.groupBy("doc", "item").agg(F.count_distinct(F.when(F.col("e1") == F.col("e2"), F.col("e1"))).alias("verbatim"), F.count_distinct("template").alias("windows"), F.max(self.window - F.col("n_slots")).alias("literal"))
-        slots = met.select("doc", "item", F.explode(F.arrays_zip("s1", "s2")).alias("z")).select("doc", "item", F.col("z.s1").alias("x"), F.col("z.s2").alias("y")).distinct()
-        one = slots.groupBy("doc", "item").agg(F.count("*").alias("n"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny")).select("doc", "item", ((F.col("n") == F.col("nx")) & (F.col("n") == F.col("ny"))).alias("consistent"))
-        return whole.join(one, ["doc", "item"], "left").withColumn("consistent", F.coalesce("consistent", F.lit(True)))
+        many = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+        return self.runs(corpus, id_col, text_col).groupBy("doc", "item").agg(many("verbatim").alias("verbatim"), many("templates").alias("windows"), F.max("literal").alias("literal"), F.max("consistent").alias("consistent"))
+
+    def templates(self, corpus: DataFrame, literal: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc, item, windows): passages that a document holds re-parameterised, with the windows of all runs that show it."""
+        runs = self.runs(corpus, id_col, text_col).where((F.size("verbatim") == 0) & F.col("consistent") & (F.col("literal") >= literal))
+        return runs.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("templates")))).alias("windows"))

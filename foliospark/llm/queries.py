@@ -93,8 +93,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     """Passages that a document holds with other names or numbers only."""
-    met = LeakageSearch(table(spark, d, "eval_passages")).search(table(spark, d, "documents"))
-    return met.where("verbatim = 0 and consistent and literal >= 7").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows")
+    met = LeakageSearch(table(spark, d, "eval_passages")).templates(table(spark, d, "documents"), literal=7)
+    return met.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows")
 
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:

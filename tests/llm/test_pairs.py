@@ -134,3 +134,13 @@ def test_leakage(spark):
     rows = {r.doc: r for r in LeakageSearch(p).search(df).collect()}
     assert {k for k, r in rows.items() if r.verbatim} == {1, 5} and rows[2].verbatim == 0 and rows[2].consistent and 3 not in rows
     assert LeakageSearch(p.where("false")).search(df).count() == 0 and LeakageSearch(p).search(df.where("false")).count() == 0
+
+
+def test_templates_are_judged_by_run(spark):
+    passage = "Explain why Foozle needs a convex basin when 42 readings arrive and how Barzle limits it in the end"
+    new = lambda a, b: passage.replace("42", a).replace("Foozle", b)
+    listed = "put the box at 3 kg then put the box at 5 kg then put the box at 8 kg and go home with it"
+    docs = [(1, f"{new('5', 'Quxle')} so x {new('9', 'Wimble')}"), (2, f"{' '.join(passage.split()[:14])} so x {new('9', 'Wimble')}"), (3, listed.replace("3", "4").replace("5", "6").replace("8", "9")), (4, passage), (5, listed), (6, new("9", "Barzle"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    p = spark.createDataFrame([(7, passage), (8, listed)], "item_id long, text string")
+    assert {(r.doc, r.item) for r in LeakageSearch(p).templates(df, 7).collect()} == {(1, 7), (2, 7), (3, 8)}
