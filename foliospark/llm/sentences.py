@@ -9,6 +9,7 @@ Defined cases: NULL and blank texts have no sentences; a text without any mark i
 is never closed is ignored; repeated rows of an id count once. Texts are taken whole; positions count code points.
 """
 
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -30,8 +31,6 @@ OPENERS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』"
 CLOSERS = set("”“»」』)）]\"›")
 #: Closing marks right behind the mark that ends a sentence.
 TRAILING = set("”»」』)）]›’")
-#: A bracket or quotation longer than this is a stray mark.
-LONGEST = 600
 MARKS = regex.compile(r"[.…]+|[!?؟]+|[。！？।॥]+|[“”„«»‹›「」『』()（）\[\]\"]|(?:ครับ|ค่ะ)(?![\p{L}\p{M}])")
 SPACE = regex.compile(r"\s*")
 UPPER_OR_OPEN = regex.compile(r"[\"“„«‹「『(（\[¡¿]*[\p{Lu}\p{Lt}]|[\"“„«‹「『¡¿]")
@@ -106,12 +105,33 @@ def _full_stop(text: str, start: int, end: int, first: int) -> bool:
     return True
 
 
+def _closed(text: str) -> dict[int, int]:
+    """Where each opening mark closes, in one pass. A closing mark takes the last open mark of its kind; what is open inside it is stray, as is what never closes."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    waiting: Counter = Counter()  # open marks by what closes them
+    for m in MARKS.finditer(text):
+        ch, at = m.group(), m.start()
+        if waiting[ch]:
+            while True:
+                close, begin = stack.pop()
+                waiting.subtract(close)
+                if ch in close:
+                    break
+            out[begin] = at
+        elif ch in OPENERS and (ch != '"' or at + 1 < len(text) and not text[at + 1].isspace()):
+            stack.append((OPENERS[ch], at))
+            waiting.update(OPENERS[ch])
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Start and end of each sentence, without the white space around it."""
     out: list[tuple[int, int]] = []
     n = len(text)
     first = SPACE.match(text).end()
-    stack: list[tuple[str, int]] = []
+    closed = _closed(text)
+    stack: list[int] = []  # where the open marks close
     inner = -1  # where the last mark read inside the stack ended
     until = 0
 
@@ -126,7 +146,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
         if at < until:
             continue
         ch = m.group()
-        if stack and ch in stack[-1][0]:
+        if stack and at == stack[-1]:
             stack.pop()
             if stack:
                 continue
@@ -136,11 +156,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
                 if after < n and after > end and UPPER_OR_OPEN.match(text, after):
                     ends(end)
             inner = -1
+        elif at in closed:
+            stack.append(closed[at])
         elif ch in OPENERS:
-            close = OPENERS[ch]
-            found = [p for p in (text.find(c, end, end + LONGEST) for c in close) if p >= 0]
-            if found and (ch != '"' or end < n and not text[end].isspace()):
-                stack.append((close, at))
+            continue
         elif ch in CLOSERS:
             continue
         elif stack:

@@ -116,6 +116,14 @@ def test_sentence_starts(text, wanted):
     assert len(got) == len(wanted) and all(g.startswith(w) for g, w in zip(got, wanted)), got
 
 
+def test_long_quotations_and_stray_marks():
+    speech = "It rained. " * 90
+    for a, b in ("“”", "()", '""', "«»"):
+        assert len(sentences(f"They said {a}{speech.strip()}{b} and left. Then it stopped.")) == 2
+    assert len(sentences("A stray (mark and (a closed one). Then more. And more.")) == 3
+    assert len(sentences("(" * 50_000 + " One. Two. " + "“" * 50_000)) == 3
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet='aB .!?"()\n「」…1', max_size=80))
 def test_sentences_cover_the_text(text):
