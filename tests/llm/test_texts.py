@@ -162,6 +162,17 @@ def test_markup_drops_link_lists():
     assert "Home" not in M.clean(f"<nav><a href=x>Home</a><a href=y>Next</a></nav>{body}{body}")[0]
 
 
+def test_markup_keeps_structure_and_lines_with_links():
+    body = "<p>" + "A long sentence, with commas, and some more words. " * 8 + "</p>"
+    for part, kept in [
+        ("<table><tr><td><a href=x>Pump A</a></td><td>12</td></tr></table>", "Pump A\t12"),
+        ("<ul><li><a href=x>Pump</a></li></ul>", "- Pump"),
+        ("<header><h1>Title</h1></header>", "Title"),
+        ("<p>See <a href=x>there</a> now</p>", "See there now"),
+    ]:
+        assert kept in M.clean(body + part)[0].split("\n"), part
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([("a", "<b>x</b>"), ("a", "<b>x</b>"), ("b", " plain "), ("c", None)], "id string, t string")
     assert {r.id: (r.clean_text, r.markups) for r in M.clean_markup(df, "id", "t").collect()} == {"a": ("x", ["html"]), "b": ("plain", []), "c": (None, [])}
