@@ -5,8 +5,8 @@ weight. A source contributes complete epochs while its budget holds one, at most
 filled in key order. Only the key interval in which a budget ends is ever sorted.
 
 Defined cases: sources are read without case and outer blanks; documents of no target source, of NULL source or NULL id take
-no part; NULL and empty texts have size 0; a source without documents has size 0; ties of the key go by id; empty
-tables give empty plans, and shares of 0.
+no part; NULL and empty texts have size 0; a source without documents has size 0, and all of it is taken at once; a NULL share or
+number of repeats is 0; ties of the key go by id; empty tables give empty plans, and shares of 0.
 """
 
 import base64
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast, strip
+from ..session import maybe_broadcast, strip, written
 
 #: Public byte-level vocabulary for many languages; its path is a parameter of everything below.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -43,7 +43,8 @@ def _sizes(batches, path: str):
     enc = encoding(path)
     for batch in batches:
         ids = [enc.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()]
-        quality = [len(set(x)) / len(x) if x else 0.0 for x in ids]
+        # variety of tokens, on logarithms so that long texts aren't held poorer than short ones
+        quality = [np.log1p(len(set(x))) / np.log1p(len(x)) if x else 0.0 for x in ids]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(np.array([len(x) for x in ids], np.int64)), pa.array(np.array(quality, float))], ["id", "source", "tokens", "quality"])
 
 
@@ -53,7 +54,7 @@ class Mixture:
         from functools import partial
 
         self.seed, self.budget = seed, budget
-        self.targets = targets.select(F.lower(strip(F.col("source"))).alias("source"), F.col("source").alias("given"), "target_share", "max_repeats").where("source is not null")
+        self.targets = targets.select(F.lower(strip(F.col("source"))).alias("source"), F.col("source").alias("given"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats")).where("source is not null")
         self.kind = documents.select(id_col).schema[0].dataType.simpleString()
         named = documents.select(F.col(id_col).alias("id"), F.lower(strip(F.col(source_col))).alias("source"), F.col(text_col).alias("text")).where("id is not null").join(maybe_broadcast(self.targets.select("source").distinct()), "source", "left_semi")
         self.sized = named.select("id", "source", "text").mapInArrow(partial(_sizes, path=tokenizer), f"id {self.kind}, source string, tokens long, quality double").persist(StorageLevel.MEMORY_AND_DISK)
@@ -65,15 +66,10 @@ class Mixture:
         total = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
         return rows.crossJoin(F.broadcast(total))
 
-    def short(self) -> DataFrame:
-        """(source, given, reachable, wanted): sources that cannot reach their share of the size of all documents."""
-        s = self.sizes().select("source", "given", (F.col("tokens") * F.col("max_repeats")).alias("reachable"), (F.col("target_share") * F.col("total")).alias("wanted"))
-        return s.where(F.col("reachable") < F.col("wanted"))
-
     def _budgets(self) -> DataFrame:
         size = F.lit(self.budget) if self.budget is not None else F.col("total")
         s = self.sizes().withColumn("wanted", F.floor(F.col("target_share") * size))
-        epochs = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("wanted") / F.col("tokens")), F.col("max_repeats"))).otherwise(0)
+        epochs = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("wanted") / F.col("tokens")), F.col("max_repeats"))).otherwise(F.col("max_repeats"))
         s = s.withColumn("epochs", epochs)
         return s.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("wanted") - F.col("epochs") * F.col("tokens")).otherwise(0))
 
@@ -95,8 +91,14 @@ class Mixture:
         return all_.select("id", "source", "tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("copies")).where("copies > 0")
 
     def shares(self) -> DataFrame:
-        """(source, target_share, share, tokens, documents, epochs): what the plan reaches, for every target source."""
-        got = self.plan().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got"), F.count("*").alias("documents"))
-        rows = self._budgets().select("source", "given", "target_share", "epochs").join(got, "source", "left").withColumns({"got": F.coalesce("got", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
+        """(source, target_share, share, tokens, documents, epochs, short): what the plan reaches, for every target source.
+
+        short: the plan takes all documents of the source max_repeats times, and they come to less than its share of the budget.
+        """
+        got = written(self.plan().groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got"), F.count("*").alias("documents")))
+        size = F.lit(self.budget) if self.budget is not None else F.col("total")
+        rows = self._budgets().withColumn("size", size).select("source", "given", "target_share", "max_repeats", "epochs", "size").join(F.broadcast(got), "source", "left").withColumns({"got": F.coalesce("got", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
         total = got.agg(F.sum("got").alias("all"))
-        return rows.crossJoin(F.broadcast(total)).select(F.col("given").alias("source"), "target_share", F.when(F.col("all") > 0, F.col("got") / F.col("all")).otherwise(0.0).alias("share"), F.col("got").alias("tokens"), "documents", F.col("epochs").cast("int").alias("epochs"))
+        short = (F.col("epochs") >= F.col("max_repeats")) & (F.col("got") < F.col("target_share") * F.col("size"))
+        share = F.when(F.col("all") > 0, F.col("got") / F.col("all")).otherwise(0.0)
+        return rows.crossJoin(F.broadcast(total)).select(F.col("given").alias("source"), "target_share", share.alias("share"), F.col("got").alias("tokens"), "documents", F.col("epochs").cast("int").alias("epochs"), short.alias("short"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .distinctive import query_keywords, term_scores
+from .distinctive import keyword_scores, query_keywords, term_scores
 from .history import HistoryCheck
 from .language import LanguageSearch, label_code, long_enough
 from .leakage import LeakageSearch
@@ -58,7 +58,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return query_keywords(table(spark, d, "chunks"), table(spark, d, "queries")).withColumnRenamed("id", "chunk_id")
+    return keyword_scores(table(spark, d, "chunks"), table(spark, d, "queries")).withColumnRenamed("id", "chunk_id")
 
 
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def _mixture(spark: SparkSession, d: str) -> Mixture:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d).short().select(F.col("given").alias("source"))
+    return _mixture(spark, d).shares().where("short").select("source")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

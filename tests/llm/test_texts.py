@@ -72,21 +72,32 @@ def test_adjusted_is_benjamini_hochberg():
 
 
 def test_keywords_and_terms(spark, monkeypatch):
-    texts = [(f"c{i}", "common words here") for i in range(60)] + [("k1", "Rare Thing and training data here"), ("k1", "Rare Thing and training data here"), ("k2", "rare, thing"), ("k3", "training-data"), ("n", None), ("b", " ")]
+    texts = [(f"c{i}", "common words here") for i in range(60)] + [("k1", "Rare Thing and training data here"), ("k1", "Rare Thing and training data here"), ("k2", "rare, thing"), ("k3", "training-data"), ("n", None), ("b", " "), ("s", "!?"), ("o", "one")]
+    texts.append(("long", " ".join(f"v{i}" for i in range(80))))
     df = spark.createDataFrame([(*t, "clash") for t in texts], "chunk_id string, chunk_text string, n string")
-    q = spark.createDataFrame([("q", ["rare ", "RARE", "Training Data", "common", None, " ", "nowhere"]), ("e", []), ("z", None)], "id string, expected_keywords array<string>")
-    rows = {(r.id, r.keyword): r for r in D.query_keywords(df, q, most_share=0.05).collect()}
-    assert {k for k, r in rows.items() if r.distinctive} == {("k1", "rare"), ("k1", "training data"), ("k2", "rare"), ("k3", "training data")} and rows["c1", "common"].df == 60
-    assert rows["k1", "rare"].score > rows["c1", "common"].score
-    same = {(r.id, r.keyword): (r["count"], r.df, round(r.score, 9)) for r in rows.values()}
+    phrases = [" ".join(f"v{i}" for i in range(n)) for n in range(1, 71)]  # of seventy lengths
+    q = spark.createDataFrame([("q", ["rare ", "RARE", "Training Data", "common", None, " ", "nowhere"]), ("e", []), ("z", None), ("v", phrases)], "id string, expected_keywords array<string>")
+
+    def all_rows():
+        scored = {(r.query_id, r.id, r.keyword): (r["count"], r.df, round(r.score, 9), r.distinctive) for r in D.keyword_scores(df, q, most_share=0.05).collect()}
+        assert {k: (v[0], v[1], v[3]) for k, v in scored.items()} == {(r.query_id, r.id, r.keyword): (r["count"], r.df, r.distinctive) for r in D.query_keywords(df, q, most_share=0.05).collect()}
+        held, totals = D.held_phrases(D.hashed_words(df, "chunk_id", "chunk_text"), D.keyword_terms(q, "id", "expected_keywords"))
+        return scored, totals.first(), {(r.id, r.term): (r["count"], r.df, r.marked) for r in held.collect()}
+
+    first = all_rows()
+    rows = first[0]
+    assert {k[1:] for k, r in rows.items() if r[3] and k[0] == "q"} == {("k1", "rare"), ("k1", "training data"), ("k2", "rare"), ("k3", "training data")} and rows["q", "c1", "common"][1] == 60
+    assert sum(k[0] == "v" for k in rows) == 70 and tuple(first[1]) == (66, 60 * 3 + 6 + 2 + 2 + 1 + 80)
+    assert rows["q", "k1", "rare"][2] > rows["q", "c1", "common"][2]
     terms = {r.id: {t.term: t.score for t in r.terms} for r in D.term_scores(df, "chunk_id", "chunk_text").collect()}
     assert terms["k1"]["rare"] > terms["c1"]["common"] and set(terms["k2"]) == {"rare", "thing"} and "n" not in terms
+    # a word has one score, asked as a keyword or not
+    assert all(math.isclose(rows["q", i, w][2], terms[i][w], abs_tol=1e-9) for i, w in (("k1", "rare"), ("k2", "rare"), ("c1", "common"), ("c9", "common")))
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)  # the way for collections whose words are many
-    again = {(r.id, r.keyword): (r["count"], r.df, round(r.score, 9)) for r in D.query_keywords(df, q, most_share=0.05).collect()}
-    assert again == same
+    assert all_rows() == first
     slow = {r.id: {t.term: t.score for t in r.terms} for r in D.term_scores(df, "chunk_id", "chunk_text").collect()}
-    assert set(slow) == set(terms) and all(math.isclose(slow[i][t], s, abs_tol=1e-9) for i in terms for t, s in terms[i].items())
-    assert D.query_keywords(df.where("false"), q).count() == 0 and D.query_keywords(df, q.where("false")).count() == 0
+    assert all(math.isclose(slow[i][t], s, abs_tol=1e-9) for i in terms for t, s in terms[i].items()) and {i for i in terms if terms[i]} == set(slow)
+    assert D.query_keywords(df.where("false"), q).count() == 0 and D.keyword_scores(df, q.where("false")).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -234,7 +245,7 @@ def test_mixture(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
     t = spark.createDataFrame([("big", 0.5, 2), ("Small", 0.4, 3), ("none", 0.1, 5)], "source string, target_share double, max_repeats int")
     m = Mixture(d, t)
-    assert {r.given for r in m.short().collect()} == {"Small", "none"}
+    assert {r.source for r in m.shares().where("short").collect()} == {"Small", "none"}
     plan = m.plan().collect()
     copies = Counter(r.copies for r in plan if r.source == "small" and r.tokens)
     assert copies == {3: 10} and max(r.copies for r in plan if r.source == "big") == 1
