@@ -16,7 +16,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors see, from spark.checkpoint.dir; one of our own where that is unset and all runs on this machine, an error on a cluster."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if given:
@@ -24,7 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="foliospark-"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        folder = tempfile.mkdtemp(prefix="foliospark-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir("file://" + folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -85,8 +89,35 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+#: Stage tables of this process, in order.
+_stages: list[str] = []
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows read from a Parquet table written to the shared folder: short lineage, short plans, pruned columns."""
+    """The same rows read from a Parquet table written to the shared folder: short lineage, short plans, pruned columns. It is deleted when the application ends, if not before."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    fs, p = file_system(df.sparkSession, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
+    _stages.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_mark() -> int:
+    return len(_stages)
+
+
+def settled(df: DataFrame, since: int) -> DataFrame:
+    """df written to a table of its own, and every stage table made since the mark deleted."""
+    out = written(df)
+    for path in _stages[since:-1]:
+        fs, p = file_system(df.sparkSession, path)
+        fs.delete(p, True)
+    del _stages[since:-1]
+    return out
