@@ -1,7 +1,15 @@
 """Checking new batches against everything accepted before, through a stored index of minwise band keys.
 
-The index is a Parquet table in the shared folder, partitioned by the hash of the band key, that grows by appending.
-A probe reads only the partitions its own keys fall in; the history's texts are read again only for candidates.
+The index is a folder of Parquet tables in the shared folder that only grow, each partitioned by a hash of what it is probed by:
+
+    bands     key, text, s1, s2, at     band keys of accepted texts, with sketches of their signatures and their first acceptance
+    accepted  text, doc, call, at       accepted documents
+    hashes    hash, at                  accepted file hashes
+    words     doc, call, wh             hashed words of the documents seen, by chunk and across the ends of chunks
+
+A call signs its own documents only, appends what it accepts, and reads of the index the partitions that its keys fall in; of older
+documents only the stored words of candidates are read, never their text. Calls come in arrival order, with any number of batches
+each. A call that died is simply run again: what it appended is found again and changes nothing.
 
 Defined cases: a NULL record id or batch number takes no part; a NULL or empty hash equals nothing; documents of under
 min_words words repeat nothing by text; repeated rows of a chunk_id count once; ties in chunk_index go by chunk_id;
@@ -15,15 +23,19 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import maybe_broadcast, shared_dir, strip, written
+from ..session import file_system, maybe_broadcast, settled, shared_dir, stage_mark, strip, written
 from .hashing import Scheme, distinct, lists, mix64, ragged, shingles, sketch_slack, word_hashes
 
 #: Chunks of a document that are put in order by one task. A document of any length is cut into such blocks.
 BLOCK = 256
+#: Parts that a crowded bucket's texts are spread over.
+SALT = 16
+#: When a record was accepted, in arrival order.
+AT = "struct<batch_no:int,record_id:bigint>"
 
 
 def sha256_value(c: Column) -> Column:
@@ -57,8 +69,8 @@ def _chunks(batches, scheme: Scheme, n: int):
         ti = np.repeat(offsets[1:] - head, head) + np.arange(head.sum()) - np.repeat(np.cumsum(head) - head, head)
         ofs = np.concatenate(([0], np.cumsum(head))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("at"), batch.column("chunk"), pa.array(lengths.astype(np.int64)), pa.array(sums), pa.ListArray.from_arrays(ofs, pa.array(signed[hi])), pa.ListArray.from_arrays(ofs, pa.array(signed[ti])), least.take(pa.array(lead, mask=lead < 0))],
-            ["doc", "at", "chunk", "n", "sum", "head", "tail", "least"],
+            [batch.column("doc"), batch.column("at"), batch.column("chunk"), pa.array(lengths.astype(np.int64)), pa.array(sums), pa.ListArray.from_arrays(ofs, pa.array(signed[hi])), pa.ListArray.from_arrays(ofs, pa.array(signed[ti])), least.take(pa.array(lead, mask=lead < 0)), batch.column("wh")],
+            ["doc", "at", "chunk", "n", "sum", "head", "tail", "least", "wh"],
         )
 
 
@@ -69,11 +81,20 @@ def _sums(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return (total[at[1:]] - total[at[:-1]]).view(np.int64)
 
 
-def _joints(batches, n: int):
-    """Shingles across the ends of chunks."""
+def _joints(batches, n: int, scheme: Scheme):
+    """Shingles across the ends of chunks: of each document of the batch their sum and the least in each bin."""
     for batch in batches:
         h, row = shingles(*ragged(batch.column("wh")), n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(_sums(h, row, batch.num_rows)), lists(h, row, batch.num_rows)], ["doc", "sum", "least"])
+        doc = batch.column("doc").dictionary_encode()
+        code, docs = np.asarray(doc.indices), len(doc.dictionary)
+        own = code[row]
+        order = np.argsort(own, kind="stable")
+        sums = _sums(h[order], own[order], docs)
+        h, own = distinct(h, own)
+        bin_ = h >> scheme.shift
+        first = np.ones(len(h), bool)
+        first[1:] = (bin_[1:] != bin_[:-1]) | (own[1:] != own[:-1])
+        yield pa.RecordBatch.from_arrays([doc.dictionary, pa.array(sums), lists(h[first], own[first], docs)], ["doc", "sum", "least"])
 
 
 def _merge(batches, scheme: Scheme):
@@ -113,44 +134,48 @@ def _shingled(batches, n: int):
     for batch in batches:
         h, row = shingles(*ragged(batch.column("wh")), n)
         h, row = distinct(h, row)
-        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(h.view(np.int64))], ["doc", "h"])
+        yield pa.RecordBatch.from_arrays([batch.column("version").take(pa.array(row)), pa.array(h.view(np.int64))], ["version", "h"])
 
 
-class BandIndex:
-    """A stored table (key, text) of band keys, partitioned by the key's hash."""
+class HistoryIndex:
+    """The stored index at a path of the shared folder; a new one of its own if none is given."""
 
-    def __init__(self, spark, path: str | None = None, partitions: int = 8):
-        self.spark, self.partitions = spark, partitions
-        self.path = path or f"{shared_dir(spark)}/bands-{uuid.uuid4().hex}"
+    SHAPES = {
+        "bands": f"key long, text long, s1 long, s2 long, at {AT}, part int",
+        "accepted": f"text long, doc string, call string, at {AT}, part int",
+        "hashes": f"hash string, at {AT}, part int",
+        "words": "doc string, wh array<long>, call string, part int",
+    }
 
-    def append(self, signatures: DataFrame, text: str = "text") -> None:
-        rows = signatures.select(F.col(text).alias("text"), F.explode("keys").alias("key"))
-        rows.withColumn("part", F.pmod("key", F.lit(self.partitions)).cast("int")).repartition("part").write.mode("append").partitionBy("part").parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema("text long, key long, part int").parquet(self.path)
+    def __init__(self, spark: SparkSession, path: str | None = None, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = 32, rows: int = 4, wave: int = 8, partitions: int = 8):
+        """wave: texts of a bucket that are met first; partitions: parts of each table, the same for all calls."""
+        self.spark, self.path = spark, (path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}").rstrip("/")
+        self.shingle, self.similarity, self.min_words, self.wave, self.partitions = shingle, similarity, min_words, wave, partitions
+        self.scheme = Scheme(bands, rows)
 
-    def keys(self, signatures: DataFrame, text: str = "text") -> DataFrame:
-        """(new, key, part): the keys of new texts, with the partitions they fall in."""
-        return signatures.select(F.col(text).alias("new"), F.explode("keys").alias("key")).withColumn("part", F.pmod("key", F.lit(self.partitions)).cast("int"))
+    # the tables
 
-    def probe(self, signatures: DataFrame, text: str = "text") -> DataFrame:
-        """(new, key, text): stored texts in the buckets of the new ones."""
-        return self.keys(signatures, text).join(self.read(), ["part", "key"]).select("new", "key", "text")
+    def _part(self, by: str) -> Column:
+        return F.pmod(F.xxhash64(by), F.lit(self.partitions)).cast("int")
 
+    def _append(self, name: str, rows: DataFrame, by: str) -> None:
+        # a rebalance, unlike a shuffle by key, is cut where a part is large
+        rows.withColumn("part", self._part(by)).hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
 
-class HistoryCheck:
-    """Later records of a manifest against the records accepted before them."""
+    def read(self, name: str) -> DataFrame:
+        fs, p = file_system(self.spark, f"{self.path}/{name}")
+        return self.spark.read.schema(self.SHAPES[name]).parquet(f"{self.path}/{name}") if fs.exists(p) else self.spark.createDataFrame([], self.SHAPES[name])
 
-    def __init__(self, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = 32, rows: int = 4, wave: int = 8):
-        self.shingle, self.similarity, self.min_words, self.wave = shingle, similarity, min_words, wave
-        self.scheme = Scheme(bands, rows)
+    def delete(self) -> None:
+        fs, p = file_system(self.spark, self.path)
+        fs.delete(p, True)
 
     # documents from chunks
 
-    def _scan(self, chunks: DataFrame) -> DataFrame:
-        given = chunks.select(F.col("document_id").alias("doc"), F.coalesce("metadata.chunk_index", F.lit(0)).alias("at"), F.col("chunk_id").alias("chunk"), word_hashes(F.col("chunk_text")).alias("wh")).where("doc is not null")
-        return given.mapInArrow(partial(_chunks, scheme=self.scheme, n=self.shingle), "doc string, at int, chunk string, n long, sum long, head array<long>, tail array<long>, least array<long>")
+    def _scan(self, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+        rows = chunks.select(F.col("document_id").alias("doc"), F.coalesce("metadata.chunk_index", F.lit(0)).alias("at"), F.col("chunk_id").alias("chunk"), "chunk_text").where("doc is not null")
+        rows = rows.join(maybe_broadcast(docs), "doc", "left_semi").select("doc", "at", "chunk", word_hashes(F.col("chunk_text")).alias("wh"))
+        return rows.mapInArrow(partial(_chunks, scheme=self.scheme, n=self.shingle), "doc string, at int, chunk string, n long, sum long, head array<long>, tail array<long>, least array<long>, wh array<long>")
 
     def _joint_words(self, scanned: DataFrame) -> DataFrame:
         """(doc, wh): at the start of each chunk, the words before it in its document and its own first ones.
@@ -174,86 +199,128 @@ class HistoryCheck:
         lacking = lacking.select("doc", F.concat(F.slice("all", F.greatest(F.lit(1), F.size("all") - n + 1), F.lit(n)), "head").alias("wh"))
         return full.unionAll(lacking).where(F.size("wh") > n)
 
-    def documents(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The documents with enough words, (doc, text), where text is one number for all documents of the same shingles;
-        one signature of each text, (text, s1, s2, keys, size); and the words at chunk starts, (doc, wh)."""
-        scanned = written(self._scan(chunks))
+    def sign(self, chunks: DataFrame, docs: DataFrame, call: str) -> tuple[DataFrame, DataFrame]:
+        """Signs the given documents (doc) and stores their words. Gives those with enough words, (doc, text), where text is one number
+        for all documents of the same shingles, and one signature of each text, (text, doc, s1, s2, keys)."""
+        scanned = written(self._scan(chunks, docs))
         joints = written(self._joint_words(scanned))
-        cross = joints.mapInArrow(partial(_joints, n=self.shingle), "doc string, sum long, least array<long>")
+        words = scanned.select("doc", "wh").unionAll(joints).where(F.size("wh") >= self.shingle).withColumn("call", F.lit(call))
+        self._append("words", words, "doc")
+        cross = joints.mapInArrow(partial(_joints, n=self.shingle, scheme=self.scheme), "doc string, sum long, least array<long>")
         whole = F.sum(F.col("sum").cast("decimal(38,0)"))
-        own = scanned.dropDuplicates(["doc", "chunk"]).groupBy("doc").agg(F.sum("n").alias("n"), whole.alias("own")).where(F.col("n") >= max(self.min_words, self.shingle))
+        own = scanned.select("doc", "chunk", "n", "sum").dropDuplicates(["doc", "chunk"]).groupBy("doc").agg(F.sum("n").alias("n"), whole.alias("own")).where(F.col("n") >= max(self.min_words, self.shingle))
         over = cross.groupBy("doc").agg(whole.alias("over"))
         modulus = F.lit(Decimal(2**64)).cast("decimal(38,0)")
-        docs = written(own.join(over, "doc", "left").select("doc", F.xxhash64("n", F.pmod(F.col("own") + F.coalesce("over", F.lit(0)), modulus)).alias("text")))
+        texts = written(own.join(over, "doc", "left").select("doc", F.xxhash64("n", F.pmod(F.col("own") + F.coalesce("over", F.lit(0)), modulus)).alias("text")))
         # one document stands for its text
-        stand = docs.groupBy("text").agg(F.min("doc").alias("doc"))
+        stand = texts.groupBy("text").agg(F.min("doc").alias("doc"))
         partial_rows = scanned.where("least is not null").select("doc", "least").unionAll(cross.select("doc", "least"))
         signed = partial_rows.repartition("doc").sortWithinPartitions("doc").mapInArrow(partial(_merge, scheme=self.scheme), "doc string, s1 long, s2 long, keys array<long>")
-        return docs, written(signed.join(stand, "doc")), joints
+        return texts, written(signed.join(stand, "doc"))
 
-    def _sets(self, chunks: DataFrame, joints: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(doc, h): the different shingles of the wanted documents. Only their chunks are read into words."""
-        wanted = maybe_broadcast(wanted)
-        kept = chunks.select(F.col("document_id").alias("doc"), "chunk_text").join(wanted, "doc", "left_semi").select("doc", word_hashes(F.col("chunk_text")).alias("wh"))
-        return kept.unionAll(joints.join(wanted, "doc", "left_semi")).mapInArrow(partial(_shingled, n=self.shingle), "doc string, h long").distinct()
+    # probing
 
-    def _similar(self, new: DataFrame, old: DataFrame, chunks: DataFrame, joints: DataFrame, signatures: DataFrame) -> DataFrame:
-        """(new, old) texts that reach the similarity. new: (text); old: (text, first), the earliest accepted record of the text.
+    def _near(self, a: str, b: str) -> Column:
+        far = F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
+        return far <= sketch_slack(self.similarity)
 
-        In each bucket a new text first meets the bucket's few earliest accepted texts; only where none of these is
-        similar does it meet the others, so the earliest similar text is always found and a hot bucket costs little.
+    def similar(self, asked: DataFrame, call: str) -> DataFrame:
+        """(new, text): stored texts that reach the similarity with the texts of this call, (text, doc, s1, s2, keys). The earliest accepted one of each is always among them.
+
+        In each bucket a new text first meets the bucket's few earliest accepted texts; only where none of these is similar does it
+        meet the others, so a hot bucket of like texts costs little.
         """
-        index = BandIndex(chunks.sparkSession)
-        index.append(signatures.join(old.select("text"), "text", "left_semi"))
-        asked = index.keys(signatures.join(new, "text", "left_semi"))
-        rows = index.read()
-        big = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > self.wave).select("part", "key").persist(StorageLevel.MEMORY_AND_DISK)
+        keyed = asked.select(F.col("text").alias("new"), F.col("s1").alias("n1"), F.col("s2").alias("n2"), F.explode("keys").alias("key")).withColumn("part", self._part("key")).persist(StorageLevel.MEMORY_AND_DISK)
+        hits = self.read("bands").join(maybe_broadcast(keyed.select("part", "key").distinct()), ["part", "key"], "left_semi").dropDuplicates(["part", "key", "text"]).persist(StorageLevel.MEMORY_AND_DISK)
+        big = hits.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > self.wave).select("part", "key").persist(StorageLevel.MEMORY_AND_DISK)
         hot = not big.isEmpty()
-        first = behind = rows
+        first = crowd = hits
         if hot:
-            rank = F.row_number().over(W.partitionBy("part", "key").orderBy("first", "text"))
-            ranked = rows.join(big, ["part", "key"], "left_semi").join(old, "text").withColumn("rank", rank).persist(StorageLevel.MEMORY_AND_DISK)
-            first = rows.join(big, ["part", "key"], "left_anti").unionByName(ranked.where(F.col("rank") <= self.wave).select(*rows.columns))
-            behind = ranked.where(F.col("rank") > self.wave).select("part", "key", "text")
-        met = written(asked.join(first, ["part", "key"]).where("new <> text").select("part", "key", "new", "text"))
-        one = self._verified(met.select("new", "text").distinct(), chunks, joints, signatures)
+            big = maybe_broadcast(big)
+            crowd = hits.join(big, ["part", "key"], "left_semi")
+            rank = F.row_number().over(W.partitionBy("part", "key").orderBy("at", "text"))
+            early = crowd.withColumn("rank", rank).where(F.col("rank") <= self.wave).drop("rank").persist(StorageLevel.MEMORY_AND_DISK)
+            first = hits.join(big, ["part", "key"], "left_anti").unionByName(early)
+        met = written(keyed.join(first, ["part", "key"]).where((F.col("new") != F.col("text")) & self._near("n", "s")).select("part", "key", "new", "text"))
+        one = self.verified(met.select("new", "text").distinct(), asked, call)
         if not hot:
             return one
-        open_ = asked.join(big, ["part", "key"], "left_semi")
         one = written(one)
-        settled = met.join(one, ["new", "text"], "left_semi").select("part", "key", "new").distinct()
-        rest = open_.join(settled, ["part", "key", "new"], "left_anti").join(behind, ["part", "key"]).where("new <> text").select("new", "text").distinct()
-        return one.unionAll(self._verified(rest, chunks, joints, signatures)).distinct()
-
-    def _verified(self, pairs: DataFrame, chunks: DataFrame, joints: DataFrame, signatures: DataFrame) -> DataFrame:
-        """The pairs (new, text) that reach the similarity, by the documents' whole sets of shingles."""
-        x = signatures.select(F.col("text").alias("new"), F.col("doc").alias("x"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-        y = signatures.select("text", F.col("doc").alias("y"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-        far = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-        near = pairs.join(x, "new").join(y, "text").where(far <= sketch_slack(self.similarity)).select("new", "text", "x", "y")
-        near = written(near)
-        sets = self._sets(chunks, joints, near.select(F.explode(F.array("x", "y")).alias("doc")).distinct()).persist(StorageLevel.MEMORY_AND_DISK)
-        sizes = sets.groupBy("doc").agg(F.count("*").alias("size"))
-        both = near.join(sets.select(F.col("doc").alias("x"), "h"), "x").join(sets.select(F.col("doc").alias("y"), "h"), ["y", "h"]).groupBy("new", "text", "x", "y").agg(F.count("*").alias("both"))
-        both = both.join(sizes.select(F.col("doc").alias("x"), F.col("size").alias("nx")), "x").join(sizes.select(F.col("doc").alias("y"), F.col("size").alias("ny")), "y")
+        done = met.join(one, ["new", "text"], "left_semi").select("part", "key", "new").distinct()
+        open_ = keyed.join(big, ["part", "key"], "left_semi").join(done, ["part", "key", "new"], "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        behind = crowd.join(early.select("part", "key", "text"), ["part", "key", "text"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALT)).cast("int"))
+        rest = open_.join(behind, ["part", "key", "salt"]).where((F.col("new") != F.col("text")) & self._near("n", "s")).select("new", "text").distinct()
+        return one.unionAll(self.verified(rest, asked, call)).distinct()
+
+    def verified(self, pairs: DataFrame, asked: DataFrame, call: str) -> DataFrame:
+        """The pairs (new, text) that reach the similarity, by whole sets of shingles out of the stored words."""
+        version = F.concat_ws("/", "call", "doc")
+        x = asked.select(F.col("text").alias("new"), F.col("doc").alias("dx"), F.lit(call).alias("cx"))
+        stored = self.read("accepted").join(maybe_broadcast(pairs.select("text").distinct().withColumn("part", self._part("text"))), ["part", "text"], "left_semi")
+        y = stored.groupBy("text").agg(F.min(F.struct("at", "call", "doc")).alias("s")).select("text", F.col("s.doc").alias("dy"), F.col("s.call").alias("cy"))
+        near = written(pairs.join(x, "new").join(y, "text").select("new", "text", "dx", "cx", "dy", "cy", F.concat_ws("/", "cx", "dx").alias("x"), F.concat_ws("/", "cy", "dy").alias("y")))
+        wanted = near.select(F.explode(F.array(F.struct(F.col("dx").alias("doc"), F.col("cx").alias("call")), F.struct(F.col("dy").alias("doc"), F.col("cy").alias("call")))).alias("v")).select("v.*").distinct().withColumn("part", self._part("doc"))
+        words = self.read("words").join(maybe_broadcast(wanted), ["part", "doc", "call"], "left_semi").select(version.alias("version"), "wh")
+        sets = words.mapInArrow(partial(_shingled, n=self.shingle), "version string, h long").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = sets.groupBy("version").agg(F.count("*").alias("size"))
+        both = near.select("new", "text", "x", "y").join(sets.select(F.col("version").alias("x"), "h"), "x").join(sets.select(F.col("version").alias("y"), "h"), ["y", "h"]).groupBy("new", "text", "x", "y").agg(F.count("*").alias("both"))
+        both = both.join(sizes.select(F.col("version").alias("x"), F.col("size").alias("nx")), "x").join(sizes.select(F.col("version").alias("y"), F.col("size").alias("ny")), "y")
         return both.where(F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")) >= self.similarity).select("new", "text")
 
-    def check(self, manifest: DataFrame, chunks: DataFrame) -> DataFrame:
-        """(record_id, earlier_record_id) of every record of a later batch (1 and up): the first accepted record before it that it repeats, else NULL."""
-        rec = manifest.where("record_id is not null and batch_no is not null").select("record_id", "batch_no", F.struct("batch_no", "record_id").alias("at"), F.col("document_id").alias("doc"), sha256_value(F.col("file_hash")).alias("hash"), is_accepted(F.col("status")).alias("ok")).distinct()
-        later = rec.where("batch_no >= 1")
-        by_hash = rec.where("ok and hash is not null").groupBy("hash").agg(F.min("at").alias("first"))
-        hit = later.join(by_hash, "hash").where("first < at").select("record_id", "first")
-
-        docs, signatures, joints = self.documents(chunks)
+    # calls
+
+    def _records(self, records: DataFrame) -> DataFrame:
+        rows = records.where("record_id is not null and batch_no is not null").select(F.struct(F.col("batch_no").cast("int").alias("batch_no"), F.col("record_id").cast("bigint").alias("record_id")).alias("at"), F.col("document_id").alias("doc"), sha256_value(F.col("file_hash")).alias("hash"), is_accepted(F.col("status")).alias("ok"))
+        return rows.distinct().persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _add(self, rec: DataFrame, chunks: DataFrame) -> tuple[str, DataFrame, DataFrame]:
+        """Signs the records' documents and appends what is accepted; gives the name of the call, (doc, text) and the signatures."""
+        call = uuid.uuid4().hex
+        texts, signed = self.sign(chunks, rec.where("doc is not null").select("doc").distinct(), call)
+        by_hash = rec.where("ok and hash is not null").groupBy("hash").agg(F.min("at").alias("at"))
+        self._append("hashes", by_hash, "hash")
+        accepted = written(rec.where("ok and doc is not null").groupBy("doc").agg(F.min("at").alias("at")).join(texts, "doc").select("text", "doc", F.lit(call).alias("call"), "at"))
+        # only texts that no earlier call accepted bring keys
+        fresh = accepted.groupBy("text").agg(F.min("at").alias("at")).withColumn("part", self._part("text")).join(self.read("accepted").select("part", "text").distinct(), ["part", "text"], "left_anti").drop("part")
+        self._append("bands", signed.join(fresh, "text").select(F.explode("keys").alias("key"), "text", "s1", "s2", "at"), "key")
+        self._append("accepted", accepted, "text")
+        return call, texts, signed
+
+    def load(self, records: DataFrame, chunks: DataFrame) -> None:
+        """Appends the accepted records of a history without checking them."""
+        self._add(self._records(records), chunks)
+
+    def ingest(self, records: DataFrame, chunks: DataFrame) -> DataFrame:
+        """(record_id, earlier_record_id) of every record given: the first accepted record before it that it repeats, else NULL. What is accepted is appended.
+
+        records: as in the manifest, none of them before a record of an earlier call; chunks: those of the records' documents are read, others left alone.
+        """
+        since = stage_mark()
+        rec = self._records(records)
+        call, texts, signed = self._add(rec, chunks)
+        hashed = rec.where("hash is not null").withColumn("part", self._part("hash")).select("part", "hash", "at")
+        by_hash = self.read("hashes").join(maybe_broadcast(hashed.select("part", "hash").distinct()), ["part", "hash"], "left_semi").groupBy("hash").agg(F.min("at").alias("first"))
+        hit = hashed.join(by_hash, "hash").where("first < at").select("at", "first")
+
+        asked = rec.select("at", "doc").join(texts, "doc").persist(StorageLevel.MEMORY_AND_DISK)
+        similar = written(self.similar(signed, call))
+        wanted = asked.select("text").unionAll(similar.select("text")).distinct().withColumn("part", self._part("text"))
+        stored = self.read("accepted").join(maybe_broadcast(wanted), ["part", "text"], "left_semi").groupBy("text", "doc").agg(F.min("at").alias("first"))
         # the two earliest accepted documents of each text: one of them is another document than the record's own
-        per_doc = rec.where("ok").groupBy("doc").agg(F.min("at").alias("first")).join(docs, "doc")
-        early = written(per_doc.withColumn("rank", F.row_number().over(W.partitionBy("text").orderBy("first"))).where("rank <= 2").drop("rank"))
-        asked = later.select("record_id", "at", "doc").join(docs, "doc")
-        same = asked.join(early.select("text", "first", F.col("doc").alias("other")), "text").where("other <> doc and first < at").select("record_id", "first")
-        old = early.groupBy("text").agg(F.min("first").alias("first"))
-        similar = self._similar(asked.select("text").distinct(), old, chunks, joints, signatures)
-        best = similar.join(old, "text").groupBy("new").agg(F.min("first").alias("first")).withColumnRenamed("new", "text")
-        near = asked.join(best, "text").where("first < at").select("record_id", "first")
-        found = hit.unionAll(same).unionAll(near).groupBy("record_id").agg(F.min("first").alias("first"))
-        return later.select("record_id").join(found, "record_id", "left").select("record_id", F.col("first.record_id").alias("earlier_record_id"))
+        early = written(stored.withColumn("rank", F.row_number().over(W.partitionBy("text").orderBy("first"))).where("rank <= 2").drop("rank"))
+        same = asked.join(early.select("text", "first", F.col("doc").alias("other")), "text").where("other <> doc and first < at").select("at", "first")
+        best = similar.join(early.groupBy("text").agg(F.min("first").alias("first")), "text").groupBy("new").agg(F.min("first").alias("first")).withColumnRenamed("new", "text")
+        near = asked.join(best, "text").where("first < at").select("at", "first")
+        found = hit.unionAll(same).unionAll(near).groupBy("at").agg(F.min("first").alias("first"))
+        out = rec.select("at").distinct().join(found, "at", "left").select("at.record_id", F.col("first.record_id").alias("earlier_record_id"))
+        out = settled(out, since)
+        return out
+
+
+def check(manifest: DataFrame, chunks: DataFrame, **options) -> DataFrame:
+    """(record_id, earlier_record_id) of every record of a later batch (1 and up), through an index of its own that is deleted afterwards: batch 0 is loaded, the later batches are one call."""
+    index = HistoryIndex(manifest.sparkSession, **options)
+    index.load(manifest.where("batch_no < 1"), chunks)
+    out = index.ingest(manifest.where("batch_no >= 1"), chunks)
+    index.delete()
+    return out

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import history
 from .distinctive import keyword_scores, query_keywords, term_scores
-from .history import HistoryCheck
 from .language import LanguageSearch, label_code, long_enough
 from .leakage import LeakageSearch
 from .markup import clean_markup
@@ -16,15 +16,17 @@ from .sentences import split_sentences
 from .split import split_oversized
 
 
+def _repeats(spark: SparkSession, d: str) -> DataFrame:
+    return history.check(table(spark, d, "ingestion_manifest"), table(spark, d, "chunks"), shingle=3, similarity=0.6, min_words=30)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    check = HistoryCheck(shingle=3, similarity=0.6, min_words=30)
-    return check.check(table(spark, d, "ingestion_manifest"), table(spark, d, "chunks")).where("earlier_record_id is not null").select("earlier_record_id", "record_id")
+    return _repeats(spark, d).where("earlier_record_id is not null").select("earlier_record_id", "record_id")
 
 
 def p1_status(spark: SparkSession, d: str) -> DataFrame:
     """Every record of a later batch as new or as repeating an earlier one."""
-    found = HistoryCheck(shingle=3, similarity=0.6, min_words=30).check(table(spark, d, "ingestion_manifest"), table(spark, d, "chunks"))
-    return found.select("record_id", "earlier_record_id", F.when(F.col("earlier_record_id").isNull(), "new").otherwise("repeat").alias("outcome"))
+    return _repeats(spark, d).select("record_id", "earlier_record_id", F.when(F.col("earlier_record_id").isNull(), "new").otherwise("repeat").alias("outcome"))
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:

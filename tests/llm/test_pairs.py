@@ -8,7 +8,8 @@ import regex
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.llm.history import HistoryCheck, sha256_value
+from foliospark.llm import history
+from foliospark.llm.history import sha256_value
 from foliospark.llm.leakage import LeakageSearch
 from foliospark.llm.neardup import NearDuplicates
 
@@ -82,7 +83,7 @@ def test_empty_tables(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     m = spark.createDataFrame([], "record_id long, batch_no int, document_id string, file_hash string, status string")
     c = spark.createDataFrame([], "chunk_id string, document_id string, chunk_text string, metadata struct<chunk_index:int>")
-    assert HistoryCheck().check(m, c).count() == 0
+    assert history.check(m, c).count() == 0
 
 
 def test_components(spark):
@@ -95,7 +96,7 @@ def test_hashes(one):
     assert [one(sha256_value, x) for x in (" SHA256:AbC ", "abc", "sha-256 = abc", "", None, " ")] == ["abc", "abc", "abc", None, None, None]
 
 
-def test_history_equals_brute_force(spark):
+def test_history_equals_brute_force(spark, tmp_path):
     rng = random.Random(3)
     t = texts(4, 25, 80)
     chunks, docs = [], {}
@@ -113,15 +114,24 @@ def test_history_equals_brute_force(spark):
     records = [(i, rng.randint(0, 3), f"d{rng.randrange(len(t) + 3)}", rng.choice(["H1", " sha256:h1 ", "h2", "h3", "", None, f"u{i}"]), rng.choice(status)) for i in range(120)]
     m = spark.createDataFrame(records + records[:5], "record_id long, batch_no int, document_id string, file_hash string, status string")
     c = spark.createDataFrame(chunks, "chunk_id string, document_id string, chunk_text string, metadata struct<chunk_index:int>")
+    wanted = {}
+    order = sorted(records, key=lambda r: (r[1], r[0]))
+    clean = lambda h: (h or "").strip().lower().removeprefix("sha256:") or None
+    for n, r in enumerate(order):
+        if r[1] >= 1:
+            wanted[r[0]] = next((e[0] for e in order[:n] if (e[4] or "").strip().lower() == "success" and (clean(r[3]) and clean(r[3]) == clean(e[3]) or r[2] != e[2] and r[2] in docs and e[2] in docs and min(shingles(docs[r[2]], 3)[1], shingles(docs[e[2]], 3)[1]) >= 30 and overlap(docs[r[2]], docs[e[2]], 3) >= 0.6)), None)
+    assert sum(v is not None for v in wanted.values()) > 20
     for wave in (1, 8):
-        got = {r.record_id: r.earlier_record_id for r in HistoryCheck(3, 0.6, 30, wave=wave).check(m, c).collect()}
-        wanted = {}
-        order = sorted(records, key=lambda r: (r[1], r[0]))
-        clean = lambda h: (h or "").strip().lower().removeprefix("sha256:") or None
-        for n, r in enumerate(order):
-            if r[1] >= 1:
-                wanted[r[0]] = next((e[0] for e in order[:n] if (e[4] or "").strip().lower() == "success" and (clean(r[3]) and clean(r[3]) == clean(e[3]) or r[2] != e[2] and r[2] in docs and e[2] in docs and min(shingles(docs[r[2]], 3)[1], shingles(docs[e[2]], 3)[1]) >= 30 and overlap(docs[r[2]], docs[e[2]], 3) >= 0.6)), None)
-        assert got == wanted and sum(v is not None for v in wanted.values()) > 20
+        assert {r.record_id: r.earlier_record_id for r in history.check(m, c, shingle=3, similarity=0.6, min_words=30, wave=wave).collect()} == wanted
+    # batch by batch into one index at a path: a call is given no text but its own documents', and the same call twice changes nothing
+    path, got = str(tmp_path / "index"), {}
+    for k in range(4):
+        now = m.where(f"batch_no = {k}")
+        own = c.join(now.select("document_id").distinct(), "document_id", "left_semi").select(c.columns)
+        for _ in range(2 if k == 2 else 1):
+            rows = {r.record_id: r.earlier_record_id for r in history.HistoryIndex(spark, path, 3, 0.6, 30).ingest(now, own).collect()}
+        got |= rows if k else {}
+    assert got == wanted
 
 
 def test_leakage(spark):
