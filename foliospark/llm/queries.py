@@ -95,7 +95,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     """Passages that a document holds with other names or numbers only."""
-    met = LeakageSearch(table(spark, d, "eval_passages")).templates(table(spark, d, "documents"), literal=7)
+    met = LeakageSearch(table(spark, d, "eval_passages")).templates(table(spark, d, "documents"))
     return met.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows")
 
 

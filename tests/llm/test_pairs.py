@@ -153,4 +153,34 @@ def test_templates_are_judged_by_run(spark):
     docs = [(1, f"{new('5', 'Quxle')} so x {new('9', 'Wimble')}"), (2, f"{' '.join(passage.split()[:14])} so x {new('9', 'Wimble')}"), (3, listed.replace("3", "4").replace("5", "6").replace("8", "9")), (4, passage), (5, listed), (6, new("9", "Barzle"))]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     p = spark.createDataFrame([(7, passage), (8, listed)], "item_id long, text string")
-    assert {(r.doc, r.item) for r in LeakageSearch(p).templates(df, 7).collect()} == {(1, 7), (2, 7), (3, 8)}
+    assert {(r.doc, r.item) for r in LeakageSearch(p).templates(df).collect()} == {(1, 7), (2, 7), (3, 8)}
+    # passages in blocks of their own give the same rows
+    whole, cut = (sorted(map(tuple, LeakageSearch(p, block=b).search(df).collect())) for b in (500_000, 1))
+    assert whole == cut and len(whole) > 5
+
+
+def test_planted_questions_are_found(spark):
+    """Recall of items planted with other numbers, names and units in corpus texts, and no row for texts that merely share words."""
+    rng = random.Random(11)
+    vocabulary = [f"w{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    items, docs, planted = [], [], set()
+    for i in range(30):
+        words = rng.choices(vocabulary, k=40)
+        for at in range(3, 40, 8):
+            words[at] = rng.choice(["17", "Brelm", "kg", "204", "Quost"])
+        items.append((i, " ".join(words)))
+    for d in range(300):
+        filler = " ".join(rng.choices(vocabulary, k=80))
+        if d % 3 == 0:
+            i = rng.randrange(30)
+            swap = {"17": str(rng.randint(20, 99)), "204": str(rng.randint(300, 999)), "Brelm": "Zand", "Quost": "Flim", "kg": "km"}
+            filler += ". " + " ".join(swap.get(w, w) for w in items[i][1].split()) + ". " + " ".join(rng.choices(vocabulary, k=40))
+            planted.add((d, i))
+        docs.append((d, filler))
+    got = {(r.doc, r.item) for r in LeakageSearch(spark.createDataFrame(items, "item_id long, text string")).templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == planted
+    # thirteen numbers are met word for word only
+    numbers = " ".join(str(n) for n in range(13))
+    p = spark.createDataFrame([(1, numbers)], "item_id long, text string")
+    rows = {r.doc: r for r in LeakageSearch(p).search(spark.createDataFrame([(1, numbers), (2, " ".join(str(n) for n in range(5, 40)))], "doc_id long, text string")).collect()}
+    assert set(rows) == {1} and rows[1].verbatim == 1
