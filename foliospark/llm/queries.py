@@ -77,7 +77,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scans(spark: SparkSession, d: str) -> ScanRepair:
-    return ScanRepair(table(spark, d, "chunks"), "chunk_id", "chunk_text", F.col("metadata.page_start"), F.col("metadata.page_end"))
+    return ScanRepair(table(spark, d, "chunks"), "chunk_id", "chunk_text", F.col("metadata.page_start"), F.col("metadata.page_end"), F.col("document_id"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

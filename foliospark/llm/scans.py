@@ -1,9 +1,13 @@
 """Repairing text from scanned pages: broken words, misread characters, running headers, page numbers, line breaks.
 
-The collection's own words are the vocabulary. A Levenshtein automaton whose edits are what scanners confuse (for
-words with odd characters any other edit as well) is intersected with the vocabulary's trie, which finds every
-candidate in reach; a candidate has to be far more common than the word itself. Of several candidates the one that most often
-follows the word before it is taken, then the cheapest and the most common. Page furniture is then removed and lines are joined.
+The collection's own words are the vocabulary, all that occur twice. A Levenshtein automaton whose edits are what scanners confuse
+(for words with odd characters any other edit as well) is intersected with the vocabulary's trie, which finds every
+candidate in reach; a candidate has to be far more common than the word itself. The trie is cut by length and end letters into
+shards, one task each, and a word is sent to every shard that its edits can reach. Of several candidates the one that most often
+follows the word before it is taken, then the cheapest and the most common. Page furniture is removed and lines are joined first.
+
+A running header is a line that prints a place in the document (a numbered part, a title with its course), or that stands beside the
+number of its own page on several pages of a document; it is then one without the number too.
 
 Defined cases: NULL and blank texts have no noise and are returned as they are; a chunk without page_start has no page number
 of its own to find; a missing page_end is page_start; repeated rows of an id count once. Texts are taken whole.
@@ -20,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, maybe_broadcast
+from ..session import BROADCAST_ROWS, maybe_broadcast, written
 
-#: Most words of the vocabulary that are sent to the tasks: the most common ones.
-VOCABULARY = 500_000
+#: Words of the vocabulary in a shard; a larger one is split by hash.
+SHARD = 200_000
 #: How much more common than a word of plain letters its correction has to be.
 RATIO = 10
 #: What is read, and what it may stand for.
@@ -36,14 +40,18 @@ HYPHENS = r"\-\u2010\u2011\u00AD\u00AC\u2027\u2043"
 BROKEN = regex.compile(rf"([\p{{L}}\p{{M}}\p{{N}}@|]+)[{HYPHENS}][ \t]*\r?\n[ \t]*(?=\p{{L}}|[01|@ſ]\p{{L}})([\p{{L}}\p{{M}}\p{{N}}@|]+)")
 COURSE = r"(?:[A-Z]{2,4}\s?\d{2,4}|[Rr]eader|READER)"
 HEADERS = [
-    regex.compile(rf"\p{{Lu}}.{{2,80}}?(?:,| —| –| ·| \|)\s+{COURSE}"),
+    regex.compile(rf"\p{{Lu}}.{{2,}}?(?:,| —| –| ·| \|)\s+{COURSE}"),
     regex.compile(r"(?:Chapter|Unit|Part|Lecture|Section|CHAPTER|UNIT|PART)\s+\d{1,3}\s*[|·:—–-]?\s+\p{Lu}[^.!?;]*[^.!?;:,\s]"),
     regex.compile(r"\d{1,3}\s*[·|]\s*\p{Lu}[^.!?;]*[^.!?;:,\s]"),
     regex.compile(r"\d{1,3}\.\s+\p{Lu}\w*(?:[ ]\w+){0,7}"),
 ]
-NUMBERED = regex.compile(r"(?:(?P<a>\d{1,4}|\(?[ivxlc]+\)?)[ \t]{2,})?(?P<body>\S.*?)(?:[ \t]{2,}(?P<b>\d{1,4}|\(?[ivxlc]+\)?))?")
 PAGE = regex.compile(r"(?P<n>\d{1,4})|[-–—]\s*(?P<n>\d{1,4})\s*[-–—]|\[\s*p\.\s*(?P<n>\d{1,4})\s*\]|p\.\s?(?P<n>\d{1,4})|Page\s+(?P<n>\d{1,4})|(?P<n>\d{1,4})\s*/\s*\d{1,4}|\(?(?P<r>[ivxlc]+)\)?", regex.I)
 SPACED = regex.compile(r"\S(?: +\S){4,}")
+#: A number of up to four digits or in Roman numerals at either end of a line; of digits only where letters were spaced.
+ENDS = (regex.compile(r"^(\d{1,4}|\(?[ivxlc]+\)?)[ \t]{2,}(?=\S)"), regex.compile(r"(?<=\S)[ \t]{2,}(\d{1,4}|\(?[ivxlc]+\)?)$"))
+CLOSE_ENDS = (regex.compile(r"^(\d{1,4}) (?=\S)"), regex.compile(r"(?<=\S) (\d{1,4})$"))
+#: What a header never ends with.
+SENTENCE_ENDS = tuple(".!?;:,…。！？，、；：।؟")
 
 
 def build_trie(words: dict[str, int]) -> dict:
@@ -110,6 +118,10 @@ def candidates(word: str, trie: dict, least: int, edits: int = 2, generic: bool
     return found
 
 
+#: A word of the vocabulary.
+LETTERS = regex.compile(r"[\p{L}\p{M}--[ſﬁﬂ]]+", regex.V1)
+
+
 def _odd(word: str) -> bool:
     """Letters with a few characters among them that no word has."""
     odd = len(regex.findall(ODD, word))
@@ -124,24 +136,54 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts")], ["word", "count"])
 
 
-def _misreads(batches, words: dict[str, int], ratio: int):
-    """Of words by count: which are misread, and as what."""
-    trie = build_trie(words)
+def _reach(word: str) -> tuple[int, int]:
+    """How much shorter and longer two confusions can make a word."""
+    deltas = [len(right) - len(wrong) for wrong, right in CONFUSED if wrong in word]
+    return 2 * min(0, *deltas, 0), 2 * max(0, *deltas, 0)
+
+
+def _routed(batches):
+    """The shards of words by count, and the suspects sent to each: (key, kind, word, count), kind 0 for the vocabulary, 1 for a suspect's confusions, 2 for any edit of it, 3 for one that is misread even without a candidate."""
     for batch in batches:
-        out: list[tuple[str, str | None, int, int]] = []
+        out: list[tuple[str, int, str, int]] = []
         for word, count in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist()):
-            bare = word.strip("|")
-            odd = _odd(word)
+            n, odd = len(word), _odd(word)
+            if count >= 2 and LETTERS.fullmatch(word):
+                out += [(f"F{word[0]}{n}", 0, word, count), (f"L{word[-1]}{n}", 0, word, count)]
+            if odd or n > 2:
+                low, high = _reach(word)
+                if any(wrong in word for wrong, _ in CONFUSED):
+                    first = {word[0]} | {right[0] for wrong, right in _BY_FIRST.get(word[0], ()) if word.startswith(wrong)}
+                    out += [(f"F{c}{m}", 1, word, count) for c in first for m in range(max(1, n + low), n + high + 1)]
             if odd:
-                got = candidates(word, trie, 2) or candidates(word, trie, max(5, count), generic=len(word) > 4 and not word[-1].isdigit())
-                letters = sum(ch.isalpha() for ch in bare)
-                # no candidate: still misread if letters surround the odd characters of a long word
-                if not got and letters >= 5 and regex.search(rf"\p{{Ll}}{ODD}\p{{Ll}}|[ſﬁﬂ]", bare) and len(regex.findall(r"\d", bare)) * 3 <= letters and not regex.search(r"\d\d", bare) and "|" not in bare:
-                    out.append((word, None, 0, 0))
-            else:
-                got = candidates(word, trie, max(5, ratio * count)) if len(word) > 2 else {}
-            out.extend((word, right, cost, n) for right, (cost, n) in got.items())
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["word", "right", "cost", "count"])
+                if n > 4 and not word[-1].isdigit():
+                    # an edit of the first letter leaves the last one as it is
+                    out += [(key, 2, word, count) for m in (n - 1, n, n + 1) for key in (f"F{word[0]}{m}", f"L{word[-1]}{m}")]
+                bare = word.strip("|")
+                letters, digits = sum(ch.isalpha() for ch in bare), len(regex.findall(r"\d", bare))
+                if letters >= 5 and regex.search(rf"\p{{Ll}}{ODD}\p{{Ll}}|[ſﬁﬂ]", bare) and digits * 3 <= letters and not regex.search(r"\d\d", bare) and "|" not in bare:
+                    out.append(("", 3, word, count))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], ["key", "kind", "word", "count"])
+
+
+def _misreads(batches, ratio: int):
+    """Candidates of the suspects, from rows that come sorted by shard and kind. Only one shard's trie is held."""
+    shard, words, trie = None, {}, None
+    for batch in batches:
+        out: list[tuple[str, str, int, int, int]] = []
+        for key, salt, kind, word, count in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "kind", "word", "count"))):
+            if (key, salt) != shard:
+                shard, words, trie = (key, salt), {}, None
+            if kind == 0:
+                words[word] = count
+                continue
+            if not words:
+                continue
+            trie = build_trie(words) if trie is None else trie
+            odd = _odd(word)
+            least = max(5, count) if kind == 2 else 2 if odd else max(5, ratio * count)
+            out.extend((word, right, cost, n, kind) for right, (cost, n) in candidates(word, trie, least, generic=kind == 2).items())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()))], ["word", "right", "cost", "count", "kind"])
 
 
 def _roman(text: str) -> int:
@@ -157,21 +199,59 @@ def _on_page(digits: str, start: int | None, end: int | None) -> bool:
     return start <= int(digits) <= end if digits.isdigit() else start <= _roman(digits) <= end + 1
 
 
-def furniture(line: str, start: int | None, end: int | None) -> tuple[bool, bool]:
-    """Whether a line is a running header, and whether it prints a page number of the chunk."""
+def _cut(line: str, ends) -> tuple[str, list[str]]:
+    """A line without the numbers at its ends, and those numbers."""
+    numbers = []
+    for end in ends:
+        m = end.search(line)
+        if m:
+            numbers.append(m[1])
+            line = line[: m.start()] + line[m.end() :]
+    return line, numbers
+
+
+def _parts(line: str) -> list[tuple[str, list[str]]]:
+    """What a line is without the numbers at its ends, and those numbers; also with its letters set close, if they are spaced."""
+    out = [_cut(line, ENDS)]
+    close = lambda x: regex.sub(r" {2,}", " ", regex.sub(r"(?<=\S) (?=\S)", "", x))
+    if len(out[0][0]) > 8 and SPACED.fullmatch(out[0][0]):
+        out.append((close(out[0][0]), out[0][1]))
+    if len(line) > 8 and SPACED.fullmatch(line):
+        out += [(close(line), []), _cut(close(line), CLOSE_ENDS)]
+    return out
+
+
+def form(body: str) -> str:
+    """A header's letters, without case."""
+    return regex.sub(r"[^\p{L}\p{M}]", "", body.lower())
+
+
+def furniture(line: str, start: int | None, end: int | None, running=()) -> tuple[bool, bool]:
+    """Whether a line is a running header, and whether it prints a page number of the chunk. running: forms of the document's headers."""
     line = line.strip()
-    if not line or len(line) > 120:
+    if not line:
         return False, False
-    page = PAGE.fullmatch(line)
+    page = PAGE.fullmatch(line) if len(line) <= 24 else None
     if page:
         return False, _on_page(page["n"] or page["r"], start, end)
-    if SPACED.fullmatch(line) and len(line) > 8:
-        line = regex.sub(r"(?<=\S) (?=\S)", "", line)
-        line = regex.sub(r" {2,}", " ", line)
-    m = NUMBERED.fullmatch(line)
-    if m and any(h.fullmatch(m["body"]) for h in HEADERS):
-        return True, any(_on_page(g, start, end) for g in (m["a"], m["b"]) if g)
-    return False, False
+    if line.endswith(SENTENCE_ENDS):
+        return False, False
+    hits = [numbers for body, numbers in _parts(line) if any(h.fullmatch(body) for h in HEADERS) or running and form(body) in running]
+    return bool(hits), any(_on_page(g, start, end) for numbers in hits for g in numbers)
+
+
+def _numbered(batches):
+    """Lines beside the number of their own page: document, form, page."""
+    for batch in batches:
+        docs, forms, pages = [], [], []
+        for n, (lines, start, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lines", "page_start", "page_end")))):
+            for line in lines:
+                body, numbers = _parts(line.strip())[0]
+                if any(g.isdigit() and _on_page(g, start, end) for g in numbers) and regex.match(r"\p{Lu}|\p{Lo}", body) and not body.endswith(SENTENCE_ENDS) and "\t" not in body and form(body):
+                    docs.append(n)
+                    forms.append(form(body))
+                    pages.append(int(next(g for g in numbers if g.isdigit())))
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(docs, pa.int64())), pa.array(forms, pa.string()), pa.array(pages, pa.int32())], ["doc", "form", "page"])
 
 
 def _plain(word: str) -> set[str]:
@@ -180,68 +260,84 @@ def _plain(word: str) -> set[str]:
     return {regex.sub(r"[1|]", x, word) for x in "li"}
 
 
-def is_broken(left: str, right: str, compounds: set[str]) -> bool:
-    """Whether a line end cuts a word that is written without a hyphen."""
-    if not regex.search(r"\p{L}", left):
-        return False
-    return not any(f"{a}-{b}" in compounds for a in _plain(left) for b in _plain(right))
+def pair_key(left: str, right: str) -> str:
+    return f"{left.lower()}-{right.lower()}"
+
 
+def _compounds(left: str, right: str) -> list[str]:
+    """The words with a hyphen that two parts at a line end may be."""
+    return sorted(f"{a}-{b}" for a in _plain(left) for b in _plain(right))
 
-def _found(batches, compounds: set[str]):
+
+def _unfurnished(text: str, start: int | None, end: int | None, running) -> tuple[str, set[str]]:
+    """The text without page furniture, and the kinds that were in it."""
+    kinds, kept = set(), []
+    for line in text.replace("\r\n", "\n").split("\n"):
+        header, page = furniture(line, start, end, running)
+        kinds |= {"header"} if header else set()
+        kinds |= {"page_number"} if page else set()
+        if not (header or page):
+            kept.append(line.rstrip())
+    return "\n".join(kept), kinds
+
+
+def _found(batches, chains: bool):
+    """Furniture and broken words of each text: (id, noise, pair, compounds), the last two for words at a line end only. With chains, also the pairs that appear once others are joined."""
     for batch in batches:
-        ids, kinds = [], []
-        for n, (text, start, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "page_start", "page_end")))):
-            own, kept = set(), []
-            for line in text.split("\n"):
-                header, page = furniture(line, start, end)
-                if header:
-                    own.add("header")
-                if page:
-                    own.add("page_number")
-                if not (header or page):
-                    kept.append(line)
+        out: list[tuple[int, str, str | None, list[str] | None]] = []
+        for n, (text, start, end, running) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "page_start", "page_end", "running")))):
             # a word may be cut by furniture
-            if any(is_broken(m[1], m[2], compounds) for m in BROKEN.finditer("\n".join(kept))):
-                own.add("hyphenation")
-            ids += [n] * len(own)
-            kinds += sorted(own)
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), pa.array(kinds, pa.string())], ["id", "noise"])
-
-
-def repair(text: str, start: int | None, end: int | None, fixes: dict, compounds: set[str]) -> str:
-    """Continuous paragraphs: no page furniture, words whole and corrected, lines joined. fixes: by word, and by (word before, word) where that decides."""
-    text = text.replace("\r\n", "\n")
-    if "\n" in text or len(text) <= 120:
-        lines = [line.rstrip() for line in text.split("\n")]
-        text = "\n".join(line for line in lines if not any(furniture(line, start, end)))
-        for _ in range(2):
-            text = BROKEN.sub(lambda m: m[1] + m[2] if is_broken(m[1], m[2], compounds) else m[1] + "-" + m[2], text)
+            text, kinds = _unfurnished(text, start, end, running or ())
+            out += [(n, k, None, None) for k in sorted(kinds)]
+            forms = [text]
+            if chains and "\n" in text:
+                forms += [BROKEN.sub(r"\1\2", text), BROKEN.sub(r"\1-\2", text)]
+            pairs = {(m[1], m[2]) for t in forms for m in BROKEN.finditer(t) if regex.search(r"\p{L}", m[1])}
+            out += [(n, "hyphenation", pair_key(*p), _compounds(*p)) for p in sorted(pairs)]
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array([o[0] for o in out], pa.int64())), *[pa.array([o[k] for o in out], t) for k, t in ((1, pa.string()), (2, pa.string()), (3, pa.list_(pa.string())))]], ["id", "noise", "pair", "compounds"])
+
+
+def flow(text: str, start: int | None, end: int | None, running, kept) -> str:
+    """Continuous paragraphs without page furniture, their words whole. kept: pairs that are written with a hyphen."""
+    text = _unfurnished(text, start, end, running)[0]
+    for _ in range(2):
+        text = BROKEN.sub(lambda m: m[1] + m[2] if regex.search(r"\p{L}", m[1]) and pair_key(m[1], m[2]) not in kept else m[1] + "-" + m[2], text)
+    if "\n" not in text:
+        return text.strip()
+    paragraphs = [regex.sub(r"[ \t]*\n(?![ \t]*(?:[-*•]|\d{1,3}[.)])\s)", " ", p).strip() for p in regex.split(r"\n[ \t]*\n", text)]
+    return "\n\n".join(p for p in paragraphs if p)
+
+
+def correct(text: str, fixes: dict[tuple[str, str], str]) -> str:
+    """The text with words corrected. fixes: by word before and word, '' at the start."""
     before = ""
 
     def fix(m):
         nonlocal before
         low = m[0].lower()
-        right = fixes.get((before, low)) or fixes.get(low)
+        right = fixes.get((before, low))
         before = low
         if not right:
             return m[0]
         begins = m[0][0].isdigit() and text[: m.start()].rstrip()[-1:] in ("", ".", "!", "?")
         return right.upper() if m[0].isupper() and len(m[0]) > 1 else right[0].upper() + right[1:] if m[0][0].isupper() or begins else right
 
-    if any(w in fixes for w in TOKEN.findall(text.lower())):
-        text = TOKEN.sub(fix, text)
-    if "\n" not in text:
-        return text.strip()
-    paragraphs = [regex.sub(r"[ \t]*\n(?![ \t]*(?:[-*•]|\d{1,3}[.)])\s)", " ", p).strip() for p in regex.split(r"\n[ \t]*\n", text)]
-    return "\n\n".join(p for p in paragraphs if p)
+    return TOKEN.sub(fix, text)
 
 
-def _repaired(batches, compounds: set[str], fixes: dict | None):
-    """fixes: for all texts; None if each row brings its own."""
+def _flowed(batches, kept: set[str] | None):
+    """kept: for all texts; None if each row brings its own."""
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("text", "page_start", "page_end")]
-        own = batch.column("fixes").to_pylist() if fixes is None else [fixes] * batch.num_rows
-        out = [t if t is None or not t.strip() else repair(t, a, b, dict(f or []), compounds) if fixes is None else repair(t, a, b, f, compounds) for t, a, b, f in zip(*cols, own)]
+        cols = [batch.column(c).to_pylist() for c in ("text", "page_start", "page_end", "running")]
+        own = batch.column("kept").to_pylist() if kept is None else [kept] * batch.num_rows
+        out = [flow(t, a, b, r or (), k or ()) if t.strip() else t for t, a, b, r, k in zip(*cols, own)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], ["id", "text"])
+
+
+def _corrected(batches):
+    for batch in batches:
+        fixes = [{(f["prev"], f["word"]): f["right"] for f in own} for own in batch.column("fixes").to_pylist()]
+        out = [correct(t, f) for t, f in zip(batch.column("text").to_pylist(), fixes)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], ["id", "repaired"])
 
 
@@ -269,22 +365,40 @@ def scanned_words(text: Column) -> Column:
 class ScanRepair:
     """Noise of the chunks given, with their own words as the vocabulary."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, page_start: Column, page_end: Column, ratio: int = RATIO):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, page_start: Column, page_end: Column, document: Column | None = None, ratio: int = RATIO):
+        """document: whose pages the chunks are; without it every chunk is a document."""
         self.kind = df.select(id_col).schema[0].dataType.simpleString()
-        self.base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), page_start.alias("page_start"), page_end.alias("page_end")).where("id is not null")
-        texts = self.base.where("text is not null").select("id", scanned_words(F.col("text")).alias("words"))
-        counted = texts.select("words").mapInArrow(_counted, "word string, count long")
-        types = counted.groupBy("word").agg(F.sum("count").alias("count")).where(F.length("word") > 1).persist(StorageLevel.MEMORY_AND_DISK)
-        letters = types.where((F.col("count") >= 2) & F.col("word").rlike(r"^[\p{L}\p{M}]+$") & ~F.col("word").rlike("[ſﬁﬂ]")).orderBy(F.desc("count"), "word").limit(VOCABULARY)
-        vocabulary = {r.word: r["count"] for r in letters.collect()}
-        parts = df.sparkSession.sparkContext.defaultParallelism * 2
-        suspects = types.where(F.length("word") <= 40).repartition(parts)
-        misread = suspects.mapInArrow(partial(_misreads, words=vocabulary, ratio=ratio), "word string, right string, cost int, count long")
-        self.misread = misread.persist(StorageLevel.MEMORY_AND_DISK)
-        self.texts = texts
-        inside = self.base.where(F.col("text").contains("-")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}-])\p{L}+(?:-\p{L}+)+"), F.lit(0))).alias("w"))
-        common = inside.groupBy("w").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "w").limit(VOCABULARY)
-        self.compounds = {r.w for r in common.collect()}
+        doc = F.col(id_col).cast("string") if document is None else document.cast("string")
+        self.base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), page_start.cast("int").alias("page_start"), page_end.cast("int").alias("page_end"), doc.alias("doc")).where("id is not null")
+        self.texts = self.base.where("text is not null").select("id", scanned_words(F.col("text")).alias("words"))
+        counted = self.texts.select("words").mapInArrow(_counted, "word string, count long")
+        types = counted.groupBy("word").agg(F.sum("count").alias("count")).where(F.length("word") > 1)
+        routed = types.mapInArrow(_routed, "key string, kind int, word string, count long").persist(StorageLevel.MEMORY_AND_DISK)
+        large = routed.where("kind = 0").groupBy("key").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")).where("shards > 1")
+        sent = routed.where("kind < 3").join(maybe_broadcast(large), "key", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+        salts = F.when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("word"), F.col("shards")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("shards") - 1))
+        sent = sent.withColumn("salt", F.explode(salts)).repartition("key", "salt").sortWithinPartitions("key", "salt", "kind", "word")
+        got = sent.select("key", "salt", "kind", "word", "count").mapInArrow(partial(_misreads, ratio=ratio), "word string, right string, cost int, count long, kind int")
+        bare = routed.where("kind = 3").select("word", F.lit(None).cast("string").alias("right"), F.lit(0).alias("cost"), F.lit(0).cast("long").alias("count"), "kind")
+        every = got.unionAll(bare).groupBy("word", "right").agg(F.min("cost").alias("cost"), F.max("count").alias("count"), F.min("kind").alias("kind")).persist(StorageLevel.MEMORY_AND_DISK)
+        # a word's confusions come before its other edits, these before none at all
+        best = every.groupBy("word").agg(F.min("kind").alias("kind"))
+        self.misread = every.join(maybe_broadcast(best), ["word", "kind"], "left_semi").select("word", "right", "cost", "count").persist(StorageLevel.MEMORY_AND_DISK)
+        inside = self.base.where(F.col("text").contains("-")).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}-])\p{L}+(?:-\p{L}+)+"), F.lit(0))).alias("compound"))
+        self.compounds = inside.groupBy("compound").agg(F.count("*").alias("n")).where("n >= 2").select("compound")
+
+    def running(self) -> DataFrame:
+        """(doc, running): the forms of the lines that stand beside the number of their own page on several pages of a document."""
+        numbered = F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*([0-9]{1,4}[ \t]{2,}\S.*|\S.*[ \t]{2,}[0-9]{1,4})[ \t]*$"), F.lit(1))
+        lines = self.base.where(F.col("page_start").isNotNull() & F.col("doc").isNotNull()).select("doc", "page_start", "page_end", numbered.alias("lines")).where(F.size("lines") > 0)
+        forms = lines.mapInArrow(_numbered, "doc string, form string, page int").groupBy("doc", "form").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
+        return forms.groupBy("doc").agg(F.collect_list("form").alias("running"))
+
+    def _lined(self) -> tuple[DataFrame, Column]:
+        """(id, text, page_start, page_end, running) of all rows, and which of them may hold furniture or broken lines: a header never ends as a sentence does."""
+        ends = "".join(SENTENCE_ENDS)
+        may = F.coalesce(F.col("text").contains("\n") | ~F.col("text").rlike(rf"[{ends}]\s*\z"), F.lit(False))
+        return self.base.join(maybe_broadcast(self.running()), "doc", "left").drop("doc"), may
 
     def noise(self) -> DataFrame:
         """(id, noise): the kinds of noise of each chunk."""
@@ -292,34 +406,55 @@ class ScanRepair:
         # rows of one id may be repeated, so its words are counted within each row
         held = self.texts.withColumn("row", F.monotonically_increasing_id()).select("id", "row", F.explode("words").alias("word")).join(maybe_broadcast(wrong), "word", "left_semi")
         misread = held.groupBy("id", "row").agg(F.count("*").alias("n")).where("n >= 3").select("id", F.lit("misread").alias("noise"))
-        lined = self.base.where(F.col("text").isNotNull() & (F.col("text").contains("\n") | (F.length("text") <= 120)))
-        lines = lined.mapInArrow(partial(_found, compounds=self.compounds), f"id {self.kind}, noise string")
-        return misread.unionAll(lines).distinct()
+        rows, may = self._lined()
+        found = rows.where(may).mapInArrow(partial(_found, chains=False), f"id {self.kind}, noise string, pair string, compounds array<string>").persist(StorageLevel.MEMORY_AND_DISK)
+        broken = found.where("pair is not null").join(maybe_broadcast(self._hyphenated(found)), "pair", "left_anti")
+        return misread.unionAll(found.where("pair is null").select("id", "noise")).unionAll(broken.select("id", "noise")).distinct()
+
+    def _hyphenated(self, found: DataFrame) -> DataFrame:
+        """(pair): the pairs at line ends that are written with a hyphen elsewhere."""
+        pairs = found.where("pair is not null").select("pair", F.explode("compounds").alias("compound")).distinct()
+        return pairs.join(self.compounds, "compound", "left_semi").select("pair").distinct()
 
-    def _followed(self, wanted: DataFrame) -> DataFrame:
+    def _followed(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
         """(id, prev, word) of all occurrences of the wanted words, which are sent to the tasks if they are few."""
         few = wanted.limit(BROADCAST_ROWS + 1).collect()
         if len(few) <= BROADCAST_ROWS:
-            return self.texts.mapInArrow(partial(_followed, wanted={r[0] for r in few}), f"id {self.kind}, prev string, word string")
+            return texts.mapInArrow(partial(_followed, wanted={r[0] for r in few}), f"id {self.kind}, prev string, word string")
         pairs = F.arrays_zip(F.concat(F.array(F.lit("")), F.expr("slice(words, 1, greatest(size(words) - 1, 0))")).alias("prev"), F.col("words").alias("word"))
-        return self.texts.where(F.size("words") > 0).select("id", F.explode(pairs).alias("p")).select("id", "p.prev", "p.word").join(wanted.toDF("word"), "word", "left_semi").select("id", "prev", "word")
+        return texts.where(F.size("words") > 0).select("id", F.explode(pairs).alias("p")).select("id", "p.prev", "p.word").join(wanted.toDF("word"), "word", "left_semi").select("id", "prev", "word")
+
+    def flowed(self) -> DataFrame:
+        """(id, text): every text in continuous paragraphs without page furniture, its words whole but not yet corrected; rows may be repeated."""
+        rows, may = self._lined()
+        cut = rows.where(may & F.col("text").rlike(rf"[{HYPHENS}][ \t]*\r?\n")).mapInArrow(partial(_found, chains=True), f"id {self.kind}, noise string, pair string, compounds array<string>").where("pair is not null").persist(StorageLevel.MEMORY_AND_DISK)
+        hyphenated = self._hyphenated(cut).persist(StorageLevel.MEMORY_AND_DISK)
+        few = hyphenated.limit(BROADCAST_ROWS + 1).collect()
+        shape = f"id {self.kind}, text string"
+        lined = rows.where(may)
+        if len(few) <= BROADCAST_ROWS:
+            out = lined.mapInArrow(partial(_flowed, kept={r.pair for r in few}), shape)
+        else:
+            kept = cut.join(hyphenated, "pair", "left_semi").groupBy("id").agg(F.collect_set("pair").alias("kept"))
+            out = lined.join(kept, "id", "left").mapInArrow(partial(_flowed, kept=None), shape)
+        plain = self.base.where(~may).select("id", F.when(~F.col("text").rlike(r"\S"), F.col("text")).otherwise(F.regexp_replace("text", r"^\s+|\s+\z", "")).alias("text"))
+        return out.unionAll(plain)
 
     def repaired(self) -> DataFrame:
         """(id, repaired): the text of every chunk as continuous paragraphs."""
+        flowed = written(self.flowed())
+        texts = flowed.where("text is not null").select("id", F.regexp_extract_all(F.lower("text"), F.lit(SCANNED), F.lit(0)).alias("words"))
         best = F.max("count").over(W.partitionBy("word"))
         # far rarer candidates are mostly misread themselves: they come last where context doesn't decide
         choice = self.misread.where("right is not null").withColumn("likely", F.col("count") * RATIO >= best).persist(StorageLevel.MEMORY_AND_DISK)
         many = choice.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
         open_ = choice.join(maybe_broadcast(many), "word", "left_semi")
-        follows = self._followed(open_.select("right").distinct()).groupBy("prev", F.col("word").alias("right")).agg(F.count("*").alias("times"))
+        met = self._followed(texts, open_.select("right").unionAll(choice.select("word")).distinct()).persist(StorageLevel.MEMORY_AND_DISK)
+        follows = met.groupBy("prev", F.col("word").alias("right")).agg(F.count("*").alias("times"))
         first = choice.groupBy("word").agg(F.max_by("right", F.struct("likely", -F.col("cost"), "count", "right")).alias("right"))
-        decided = follows.join(maybe_broadcast(open_), "right").groupBy("prev", "word").agg(F.max_by("right", F.struct("times", "likely", -F.col("cost"), "count", "right")).alias("right")).persist(StorageLevel.MEMORY_AND_DISK)
-        small = [df.limit(BROADCAST_ROWS + 1).collect() for df in (first, decided)]
-        shape = f"id {self.kind}, repaired string"
-        if max(map(len, small)) <= BROADCAST_ROWS:
-            fixes = {r.word: r.right for r in small[0]} | {(r.prev, r.word): r.right for r in small[1]}
-            return self.base.mapInArrow(partial(_repaired, compounds=self.compounds, fixes=fixes), shape).dropDuplicates(["id"])
-        occurs = self._followed(choice.select("word").distinct()).distinct()
-        own = occurs.join(decided.withColumnRenamed("right", "by_context"), ["prev", "word"], "left").join(first, "word").groupBy("id", "word").agg(F.max(F.coalesce("by_context", "right")).alias("right"))
-        fixes = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("fixes"))
-        return self.base.join(fixes, "id", "left").mapInArrow(partial(_repaired, compounds=self.compounds, fixes=None), shape).dropDuplicates(["id"])
+        decided = follows.join(maybe_broadcast(open_), "right").groupBy("prev", "word").agg(F.max_by("right", F.struct("times", "likely", -F.col("cost"), "count", "right")).alias("by_context"))
+        occurs = met.join(maybe_broadcast(first), "word").distinct().join(decided, ["prev", "word"], "left")
+        fixes = occurs.groupBy("id").agg(F.collect_list(F.struct("prev", "word", F.coalesce("by_context", "right").alias("right"))).alias("fixes"))
+        rows = flowed.join(fixes, "id", "left").dropDuplicates(["id"])
+        fixed = rows.where("fixes is not null").mapInArrow(_corrected, f"id {self.kind}, repaired string")
+        return fixed.unionAll(rows.where("fixes is null").select("id", F.col("text").alias("repaired")))

@@ -225,12 +225,33 @@ def test_scans(spark, monkeypatch):
     assert {(r.id, r.noise) for r in scan.noise().collect()} == {("x", k) for k in ("header", "hyphenation", "misread", "page_number")}
     out = {r.id: r.repaired for r in scan.repaired().collect()}
     assert out["x"] == good and out["g1"] == good and out["n"] is None and out["e"] == ""
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)  # the way for collections with many misread words
-    assert {r.id: r.repaired for r in scan.repaired().collect()} == out
     empty = S.ScanRepair(df.where("false"), "id", "t", F.col("a"), F.col("b"))
     assert empty.noise().count() == 0 and empty.repaired().count() == 0
 
 
+def test_one_answer_whatever_the_size(spark, monkeypatch):
+    long = "pneumono" * 6
+    rows = [(f"l{i}", "The green lace is old. The half-open " + long + " door.", None) for i in range(30)] + [(f"i{i}", "A red iace is new.", None) for i in range(30)]
+    rows += [("x", "The green 1ace and a red 1ace are here, with " + long.replace("u", "ii", 1) + " too.", None), ("y", "It is half-\nopen and gar-\nden and old-\nfashioned ter-\nri-\ntory.", None), ("n", None, 1), ("b", " \n ", 1)]
+    rows += [("old", "An old-fashioned garden. An old-fashioned view.", None), ("old2", "An old-fashioned one.", None)]
+    df = spark.createDataFrame(rows, "id string, t string, a int")
+    take = lambda: (lambda s: ({r.id: r.repaired for r in s.repaired().collect()}, {tuple(r) for r in s.noise().collect()}))(S.ScanRepair(df, "id", "t", F.col("a"), F.col("a")))
+    few = take()
+    assert few[0]["x"] == "The green lace and a red iace are here, with " + long + " too."
+    assert few[0]["y"] == "It is half-open and garden and old-fashioned territory." and few[0]["b"] == " \n " and few[0]["n"] is None
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)  # the way for collections with many misread words
+    monkeypatch.setattr(S, "SHARD", 1)  # and for large vocabularies
+    assert take() == few
+
+
+def test_running_headers_recur_over_pages(spark):
+    text = lambda line: f"{line}\nthe matrix is shown here and\nthe garden is open."
+    rows = [("a", text("Soft gardens   11"), 11, "d"), ("b", text("12   Soft gardens"), 12, "d"), ("c", text("SOFT GARDENS"), 13, "d"), ("e", text("Soft gardens"), 14, "other"), ("f", text("Total sum   15"), 15, "other"), ("g", text("2 1 8   S o f t   g a r d e n s"), 14, "d"), ("h", text("2 1 8   O n   r a d i a l   c l a y   —   Q S T 3 0 8"), 218, "z")]
+    df = spark.createDataFrame(rows, "id string, t string, a int, doc string")
+    got = {(r.id, r.noise) for r in S.ScanRepair(df, "id", "t", F.col("a"), F.col("a"), F.col("doc")).noise().collect()}
+    assert got == {("a", "header"), ("a", "page_number"), ("b", "header"), ("b", "page_number"), ("c", "header"), ("g", "header"), ("h", "header"), ("h", "page_number")}
+
+
 def test_rare_candidates_are_ranked_by_context(spark):
     rows = [(f"l{i}", "The flat roof is old.") for i in range(300)] + [(f"i{i}", "They ruled by fiat alone.") for i in range(20)]
     rows += [("x", "They ruled by f1at alone."), ("y", "The f1at roof is old."), ("z", "Some f1at is old."), ("p", "Page 12"), ("h", "Unit 3 | The garden"), ("q", "Page 13")]
