@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most rows that an operator broadcasts. Larger sides go through a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Most bytes of them.
+BROADCAST_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,11 +41,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, as it is otherwise.
+    """The rows of df ready for a broadcast if there are at most so many and they take at most BROADCAST_BYTES, df as it is otherwise.
 
-    The count is an action, limited so that it stops soon after the bound.
+    A side that is small is computed here, once, and joined as given rows; of a larger one no more than the bound is read.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    most = min(most, BROADCAST_BYTES // max(1, df._jdf.schema().defaultSize()))
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most or rows.nbytes > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 _shipped: set[str] = set()
