@@ -2,10 +2,11 @@
 
 The index is a folder of Parquet tables in the shared folder that only grow, each partitioned by a hash of what it is probed by:
 
-    bands     key, text, s1, s2, at     band keys of accepted texts, with sketches of their signatures and their first acceptance
+    bands     key, text, s1, s2         band keys of accepted texts, with sketches of their signatures
     accepted  text, doc, call, at       accepted documents
     hashes    hash, at                  accepted file hashes
-    words     doc, call, wh             hashed words of the documents seen, by chunk and across the ends of chunks
+    words     doc, call, wh, ...        hashed words of the documents seen, by chunk
+    joints    doc, call, wh             those across the ends of chunks
 
 A call signs its own documents only, appends what it accepts, and reads of the index the partitions that its keys fall in; of older
 documents only the stored words of candidates are read, never their text. Calls come in arrival order, with any number of batches
@@ -141,10 +142,11 @@ class HistoryIndex:
     """The stored index at a path of the shared folder; a new one of its own if none is given."""
 
     SHAPES = {
-        "bands": f"key long, text long, s1 long, s2 long, at {AT}, part int",
+        "bands": "key long, text long, s1 long, s2 long, part int",
         "accepted": f"text long, doc string, call string, at {AT}, part int",
         "hashes": f"hash string, at {AT}, part int",
-        "words": "doc string, wh array<long>, call string, part int",
+        "words": "doc string, at int, chunk string, n long, sum long, head array<long>, tail array<long>, least array<long>, wh array<long>, call string, part int",
+        "joints": "doc string, wh array<long>, call string, part int",
     }
 
     def __init__(self, spark: SparkSession, path: str | None = None, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = 32, rows: int = 4, wave: int = 8, partitions: int = 8):
@@ -158,9 +160,11 @@ class HistoryIndex:
     def _part(self, by: str) -> Column:
         return F.pmod(F.xxhash64(by), F.lit(self.partitions)).cast("int")
 
-    def _append(self, name: str, rows: DataFrame, by: str) -> None:
-        # a rebalance, unlike a shuffle by key, is cut where a part is large
-        rows.withColumn("part", self._part(by)).hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
+    def _append(self, name: str, rows: DataFrame, by: str, call: str | None = None) -> None:
+        # written where the rows are: a shuffle by part would put a hot key into one task
+        rows = rows.withColumn("part", self._part(by))
+        rows = rows if call is None else rows.withColumn("call", F.lit(call))
+        rows.write.mode("append").partitionBy(*(["part"] if call is None else ["call", "part"])).parquet(f"{self.path}/{name}")
 
     def read(self, name: str) -> DataFrame:
         fs, p = file_system(self.spark, f"{self.path}/{name}")
@@ -202,10 +206,10 @@ class HistoryIndex:
     def sign(self, chunks: DataFrame, docs: DataFrame, call: str) -> tuple[DataFrame, DataFrame]:
         """Signs the given documents (doc) and stores their words. Gives those with enough words, (doc, text), where text is one number
         for all documents of the same shingles, and one signature of each text, (text, doc, s1, s2, keys)."""
-        scanned = written(self._scan(chunks, docs))
-        joints = written(self._joint_words(scanned))
-        words = scanned.select("doc", "wh").unionAll(joints).where(F.size("wh") >= self.shingle).withColumn("call", F.lit(call))
-        self._append("words", words, "doc")
+        self._append("words", self._scan(chunks, docs), "doc", call)
+        scanned = self.read("words").where(F.col("call") == call)
+        self._append("joints", self._joint_words(scanned), "doc", call)
+        joints = self.read("joints").where(F.col("call") == call)
         cross = joints.mapInArrow(partial(_joints, n=self.shingle, scheme=self.scheme), "doc string, sum long, least array<long>")
         whole = F.sum(F.col("sum").cast("decimal(38,0)"))
         own = scanned.select("doc", "chunk", "n", "sum").dropDuplicates(["doc", "chunk"]).groupBy("doc").agg(F.sum("n").alias("n"), whole.alias("own")).where(F.col("n") >= max(self.min_words, self.shingle))
@@ -237,10 +241,11 @@ class HistoryIndex:
         first = crowd = hits
         if hot:
             big = maybe_broadcast(big)
-            crowd = hits.join(big, ["part", "key"], "left_semi")
+            since = self.read("accepted").groupBy("text").agg(F.min("at").alias("at"))
+            crowd = hits.join(big, ["part", "key"], "left_semi").join(since, "text").persist(StorageLevel.MEMORY_AND_DISK)
             rank = F.row_number().over(W.partitionBy("part", "key").orderBy("at", "text"))
             early = crowd.withColumn("rank", rank).where(F.col("rank") <= self.wave).drop("rank").persist(StorageLevel.MEMORY_AND_DISK)
-            first = hits.join(big, ["part", "key"], "left_anti").unionByName(early)
+            first = hits.join(big, ["part", "key"], "left_anti").unionByName(early.select(*hits.columns))
         met = written(keyed.join(first, ["part", "key"]).where((F.col("new") != F.col("text")) & self._near("n", "s")).select("part", "key", "new", "text"))
         one = self.verified(met.select("new", "text").distinct(), asked, call)
         if not hot:
@@ -260,7 +265,8 @@ class HistoryIndex:
         y = stored.groupBy("text").agg(F.min(F.struct("at", "call", "doc")).alias("s")).select("text", F.col("s.doc").alias("dy"), F.col("s.call").alias("cy"))
         near = written(pairs.join(x, "new").join(y, "text").select("new", "text", "dx", "cx", "dy", "cy", F.concat_ws("/", "cx", "dx").alias("x"), F.concat_ws("/", "cy", "dy").alias("y")))
         wanted = near.select(F.explode(F.array(F.struct(F.col("dx").alias("doc"), F.col("cx").alias("call")), F.struct(F.col("dy").alias("doc"), F.col("cy").alias("call")))).alias("v")).select("v.*").distinct().withColumn("part", self._part("doc"))
-        words = self.read("words").join(maybe_broadcast(wanted), ["part", "doc", "call"], "left_semi").select(version.alias("version"), "wh")
+        stored = self.read("words").select("part", "doc", "call", "wh").unionByName(self.read("joints").select("part", "doc", "call", "wh"))
+        words = stored.join(maybe_broadcast(wanted), ["part", "doc", "call"], "left_semi").select(version.alias("version"), "wh")
         sets = words.mapInArrow(partial(_shingled, n=self.shingle), "version string, h long").distinct().persist(StorageLevel.MEMORY_AND_DISK)
         sizes = sets.groupBy("version").agg(F.count("*").alias("size"))
         both = near.select("new", "text", "x", "y").join(sets.select(F.col("version").alias("x"), "h"), "x").join(sets.select(F.col("version").alias("y"), "h"), ["y", "h"]).groupBy("new", "text", "x", "y").agg(F.count("*").alias("both"))
@@ -281,8 +287,8 @@ class HistoryIndex:
         self._append("hashes", by_hash, "hash")
         accepted = written(rec.where("ok and doc is not null").groupBy("doc").agg(F.min("at").alias("at")).join(texts, "doc").select("text", "doc", F.lit(call).alias("call"), "at"))
         # only texts that no earlier call accepted bring keys
-        fresh = accepted.groupBy("text").agg(F.min("at").alias("at")).withColumn("part", self._part("text")).join(self.read("accepted").select("part", "text").distinct(), ["part", "text"], "left_anti").drop("part")
-        self._append("bands", signed.join(fresh, "text").select(F.explode("keys").alias("key"), "text", "s1", "s2", "at"), "key")
+        fresh = accepted.select("text", self._part("text").alias("part")).distinct().join(self.read("accepted").select("part", "text").distinct(), ["part", "text"], "left_anti").drop("part")
+        self._append("bands", signed.join(fresh, "text").select(F.explode("keys").alias("key"), "text", "s1", "s2"), "key")
         self._append("accepted", accepted, "text")
         return call, texts, signed
 
