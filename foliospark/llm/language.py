@@ -1,17 +1,17 @@
 """Languages of documents and of stretches in them, by segmentation-marginalised unigrams.
 
 Each language has probabilities of the pieces of a fixed public vocabulary. The probability of a word is the sum over all
-its segmentations into pieces, which a forward algorithm gives; the pieces' probabilities come from a few rounds of
-expectation maximisation over a bounded sample of labelled documents, from which documents that another language explains
-better are dropped. A Viterbi path over the words, on which a change of language costs something (less between sentences),
-cuts a text into stretches.
+its segmentations into pieces of any length, which a forward algorithm gives for whole words, runs of scripts without spaces among
+them; the pieces' probabilities come from a few rounds of expectation maximisation over a bounded sample of labelled documents, from
+which documents that another language explains better are dropped. What one word can say against a language is bounded, by its
+length, so that a name or a foreign word decides nothing. A Viterbi path over the words, on which a change of language costs something
+(less between sentences), cuts a text into stretches.
 
 Defined cases: NULL, empty and wordless texts have no stretch; unknown labels name no language; a language without
 labelled documents is not found; repeated rows of an id count once; texts are taken whole.
 """
 
 import base64
-import math
 from collections import Counter
 from functools import partial
 
@@ -29,15 +29,13 @@ from .hashing import WORD
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Documents of each language that the model is fitted on at most.
 SAMPLE = 100
-#: Longest piece in bytes.
-PIECE = 12
-#: Characters of a word that are scored at once; words of scripts without spaces are longer.
-UNIT = 8
-#: Scripts without spaces have their runs cut into units of so many characters.
-SPACELESS_UNIT = 4
 SPACELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+#: Characters of a word that may say MOST nats against a language; fewer of scripts without spaces. A shorter word may say as much.
+SAYING, SPACELESS_SAYING = 16, 8
 #: Cost of a change of language within a sentence and between sentences, and the most that one word can say, in nats.
 INSIDE, BETWEEN, MOST = 14.0, 7.0, 5.0
+#: Words that are scored at once, and scored words that a task remembers.
+AT_ONCE, REMEMBERED = 20_000, 300_000
 
 #: The languages by two-letter code, three-letter codes and English name.
 LANGUAGES = {
@@ -60,131 +58,161 @@ def label_code(label: Column) -> Column:
 _vocabularies: dict = {}
 
 
-def vocabulary(path: str) -> dict[bytes, int]:
-    """Pieces of at most PIECE bytes, every single byte among them."""
+def vocabulary(path: str) -> tuple[dict, int]:
+    """The pieces as a trie of bytes, every single byte among them, and how many there are. A node has its piece's number under -1."""
     if path not in _vocabularies:
         with open(path, "rb") as f:
-            pieces = [base64.b64decode(line.split()[0]) for line in f]
-        kept = {bytes([b]) for b in range(256)} | {p for p in pieces if len(p) <= PIECE}
-        _vocabularies[path] = {p: i for i, p in enumerate(sorted(kept))}
+            _vocabularies[path] = piece_trie({base64.b64decode(line.split()[0]) for line in f} | {bytes([b]) for b in range(256)})
     return _vocabularies[path]
 
 
-def units(word: str) -> list[bytes]:
-    """The parts of a word that are scored, as bytes; a word after a space starts with one."""
-    if SPACELESS.search(word):
-        return [word[i : i + SPACELESS_UNIT].encode() for i in range(0, len(word), SPACELESS_UNIT)]
-    word = " " + word
-    return [word[i : i + UNIT].encode() for i in range(0, len(word), UNIT)]
+def piece_trie(pieces) -> tuple[dict, int]:
+    root: dict = {}
+    for number, piece in enumerate(sorted(pieces)):
+        node = root
+        for byte in piece:
+            node = node.setdefault(byte, {})
+        node[-1] = number
+    return root, len(pieces)
+
+
+def as_bytes(word: str) -> bytes:
+    """A word as it is cut into pieces; it starts with a space in scripts that have them."""
+    return word.encode() if SPACELESS.search(word) else (" " + word).encode()
+
+
+def _groups(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
+class Lattice:
+    """All segmentations of some words: an edge for every piece at every place, between flat positions."""
+
+    def __init__(self, words: list[bytes], root: dict):
+        starts, ends, pieces = [], [], []
+        base = 0
+        for word in words:
+            n = len(word)
+            for i in range(n):
+                node, j = root, i
+                while j < n:
+                    node = node.get(word[j])
+                    if node is None:
+                        break
+                    j += 1
+                    if -1 in node:
+                        starts.append(base + i)
+                        ends.append(base + j)
+                        pieces.append(node[-1])
+            base += n + 1
+        lengths = np.array([len(w) for w in words], np.int64)
+        self.first = np.cumsum(lengths + 1) - lengths - 1
+        self.last = self.first + lengths
+        self.size = base
+        src, dst, piece = np.array(starts, np.int64), np.array(ends, np.int64), np.array(pieces, np.int64)
+        own = np.searchsorted(self.first, src, "right") - 1
+        # forward: by place of the end in its word; backward: by place of the start
+        order = np.lexsort((dst, dst - self.first[own])) if len(src) else np.empty(0, np.int64)
+        self.src, self.dst, self.piece, self.own = src[order], dst[order], piece[order], own[order]
+        level = self.dst - self.first[self.own]
+        self.levels = np.append(_groups(level), len(level))
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum over all ways to each position. logs: by piece, one column for each language."""
+        out = np.full((self.size, logs.shape[1]), -np.inf)
+        out[self.first] = 0
+        for a, b in zip(self.levels, self.levels[1:]):
+            _add(out, self.dst[a:b], out[self.src[a:b]] + logs[self.piece[a:b]])
+        return out
+
+    def backward(self, logs: np.ndarray) -> np.ndarray:
+        """The same from each position to the end."""
+        out = np.full((self.size, logs.shape[1]), -np.inf)
+        out[self.last] = 0
+        order = np.lexsort((self.src, self.first[self.own] - self.src))
+        src, dst, piece = self.src[order], self.dst[order], self.piece[order]
+        level = np.append(_groups((self.src - self.first[self.own])[order]), len(order))
+        for a, b in zip(level, level[1:]):
+            _add(out, src[a:b], out[dst[a:b]] + logs[piece[a:b]])
+        return out
+
+    def scores(self, logs: np.ndarray) -> np.ndarray:
+        """Logarithm of each word's probability in each language."""
+        return self.forward(logs)[self.last]
 
+    def expected(self, log: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over all segmentations of the words, each of which occurs so many times."""
+        column = log[:, None]
+        alpha, beta = self.forward(column)[:, 0], self.backward(column)[:, 0]
+        share = np.exp(alpha[self.src] + log[self.piece] + beta[self.dst] - alpha[self.last][self.own])
+        return np.bincount(self.piece, weights=share * times[self.own], minlength=len(log))
 
-def _edges(unit: bytes, pieces: dict[bytes, int]) -> list[tuple[int, int, int]]:
-    n = len(unit)
-    get = pieces.get
-    return [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + PIECE) + 1) if (k := get(unit[i:j])) is not None]
+
+def _add(out: np.ndarray, at: np.ndarray, logs: np.ndarray) -> None:
+    """out at each position becomes the logarithm of the sum of what comes to it; equal positions stand together."""
+    start = _groups(at)
+    top = np.maximum.reduceat(logs, start)
+    count = np.diff(np.append(start, len(at)))
+    total = np.add.reduceat(np.exp(logs - np.repeat(top, count, axis=0)), start)
+    out[at[start]] = top + np.log(total)
 
 
 class Model:
-    """Log probabilities of units by language. Picklable; keeps what it has scored."""
+    """Log probabilities of words by language. Picklable; keeps what it has scored."""
 
-    def __init__(self, path: str, codes: list[str], logs: dict[int, np.ndarray], floor: np.ndarray):
-        self.path, self.codes, self.logs, self.floor = path, codes, logs, floor
+    def __init__(self, path: str, codes: list[str], logs: np.ndarray):
+        """logs: by piece and language."""
+        self.path, self.codes, self.logs = path, codes, logs
         self.seen: dict[str, np.ndarray] = {}
-        self.unit_seen: dict[bytes, np.ndarray] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}, "unit_seen": {}}
-
-    def unit(self, unit: bytes) -> np.ndarray:
-        got = self.unit_seen.get(unit)
-        if got is None:
-            probability = self.logs.get
-            alpha = [None] * (len(unit) + 1)
-            alpha[0] = 1.0
-            floor = self.floor
-            for i, j, k in _edges(unit, vocabulary(self.path)):
-                step = alpha[i] * probability(k, floor)
-                alpha[j] = step if alpha[j] is None else alpha[j] + step
-            got = np.log(alpha[-1])
-            if len(self.unit_seen) > 300_000:
-                self.unit_seen.clear()
-            self.unit_seen[unit] = got
-        return got
-
-    def word(self, word: str) -> np.ndarray:
-        """How much worse each language explains the word than the best one does, at most MOST."""
-        got = self.seen.get(word)
-        if got is None:
-            if word[0].isdigit():
-                got = np.zeros(len(self.codes))
-            else:
-                parts = units(word)
-                raw = sum(self.unit(u) for u in parts)
-                got = np.maximum(raw - raw.max(), -MOST * max(1, len(parts) // 2))
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            self.seen[word] = got
-        return got
-
-
-def _expected(counts: Counter, pieces: dict[bytes, int], p: dict[int, float], floor: float, edges: dict) -> dict[int, float]:
-    """Expected uses of each piece over all segmentations of the counted units."""
-    out: dict[int, float] = {}
-    for unit, times in counts.items():
-        es = edges.get(unit)
-        if es is None:
-            es = edges[unit] = _edges(unit, pieces)
-        n = len(unit)
-        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        alpha[0] = beta[n] = 1.0
-        ps = [p.get(k, floor) for _, _, k in es]
-        for (i, j, _), q in zip(es, ps):
-            alpha[j] += alpha[i] * q
-        for (i, j, _), q in zip(reversed(es), reversed(ps)):
-            beta[i] += q * beta[j]
-        scale = times / alpha[n]
-        for (i, j, k), q in zip(es, ps):
-            out[k] = out.get(k, 0.0) + alpha[i] * q * beta[j] * scale
-    return out
+        return self.__dict__ | {"seen": {}}
+
+    def table(self, words: list[str]) -> np.ndarray:
+        """How much worse each language explains each word than the best one does, at most what the word may say; a number says nothing."""
+        out = np.zeros((len(words), len(self.codes)))
+        if not self.codes:
+            return out
+        fresh = [w for w in dict.fromkeys(words) if w not in self.seen and w[0].isalpha()]
+        if len(self.seen) + len(fresh) > REMEMBERED:
+            self.seen.clear()
+            fresh = [w for w in dict.fromkeys(words) if w[0].isalpha()]
+        for at in range(0, len(fresh), AT_ONCE):
+            part = fresh[at : at + AT_ONCE]
+            raw = Lattice([as_bytes(w) for w in part], vocabulary(self.path)[0]).scores(self.logs)
+            bound = np.array([max(1, len(w) // (SPACELESS_SAYING if SPACELESS.search(w) else SAYING)) for w in part], float)
+            self.seen.update(zip(part, np.maximum(raw - raw.max(axis=1, keepdims=True), -MOST * bound[:, None])))
+        for n, w in enumerate(words):
+            if w[0].isalpha():
+                out[n] = self.seen[w]
+        return out
 
 
 def fit(texts: list[tuple[str, list[str]]], path: str, rounds: int = 3) -> Model:
     """From (language, words) of sample documents. Documents better explained by another language leave the sample after a first fit."""
-    pieces = vocabulary(path)
-    edges: dict = {}
+    root, size = vocabulary(path)
+    codes = [c for c in CODES if any(code == c and any(w[0].isalpha() for w in words) for code, words in texts)]
+    names = {c: sorted({w for code, words in texts if code == c for w in words if w[0].isalpha()}) for c in codes}
+    lattices = {c: Lattice([as_bytes(w) for w in names[c]], root) for c in codes}
 
     def once(sample, rounds):
-        codes = [c for c in CODES if any(code == c for code, _ in sample)]
-        logs: dict[int, np.ndarray] = {}
-        floors = np.zeros(len(codes))
+        logs = np.empty((size, len(codes)))
         for at, code in enumerate(codes):
-            counts: Counter = Counter()
-            for own, words in sample:
-                if own == code:
-                    for w in words:
-                        if not w[0].isdigit():
-                            counts.update(units(w))
-            p, floor = {}, 1 / len(pieces)
+            counts = Counter(w for own, words in sample if own == code for w in words)
+            times = np.array([counts[w] for w in names[code]], float)
+            log = np.full(size, -np.log(size))
             for _ in range(rounds):
-                got = _expected(counts, pieces, p, floor, edges)
-                total = sum(got.values()) + 0.02 * len(pieces)
-                p, floor = {k: (v + 0.02) / total for k, v in got.items()}, 0.02 / total
-            floors[at] = floor
-            for k, v in p.items():
-                logs.setdefault(k, {})[at] = v
-        table = {}
-        for k, own in logs.items():
-            row = floors.copy()
-            for at, v in own.items():
-                row[at] = v
-            table[k] = row
-        return Model(path, codes, table, floors)
-
-    if not texts:
-        return Model(path, [], {}, np.zeros(0))
+                got = lattices[code].expected(log, times) + 0.02
+                log = np.log(got / got.sum())
+            logs[:, at] = log
+        return Model(path, codes, logs)
+
+    if not codes:
+        return Model(path, [], np.zeros((0, 0)))
     first = once(texts, 2)
-    clean = [(code, words) for code, words in texts if words and first.codes[int(np.argmax(sum(first.word(w) for w in words)))] == code]
-    return once(clean or texts, rounds)
+    clean = [(code, words) for code, words in texts if words and first.codes[int(np.argmax(first.table(words).sum(axis=0)))] == code]
+    return once(clean if {c for c, _ in clean} >= set(codes) else texts, rounds)
 
 
 #: Tokens: words, and the marks and line breaks between sentences.
@@ -232,7 +260,7 @@ def _paths(scores: np.ndarray, between: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def _stretches(batches, model: Model):
+def _stretches(batches, model: Model, keep: list[str]):
     """Stretches of each text: language, words, characters, confidence, and first and last token."""
     for batch in batches:
         column = batch.column("tokens")
@@ -243,7 +271,9 @@ def _stretches(batches, model: Model):
         names = coded.dictionary.to_pylist()
         code = np.asarray(coded.indices)
         worded = np.array([n[0].isalnum() for n in names], bool) if names else np.zeros(0, bool)
-        table = np.array([model.word(n) if w else np.zeros(len(model.codes)) for n, w in zip(names, worded)]).reshape(len(names), len(model.codes))
+        table = np.zeros((len(names), len(model.codes)))
+        if worded.any():
+            table[worded] = model.table([n for n, w in zip(names, worded) if w])
         size = np.array([len(n) if w else 0 for n, w in zip(names, worded)], np.int64)
         row = np.repeat(np.arange(batch.num_rows), lengths)
         is_word = worded[code] if len(code) else np.zeros(0, bool)
@@ -265,9 +295,10 @@ def _stretches(batches, model: Model):
         others = total.copy()
         others[np.arange(len(at)), path[at]] = -np.inf
         margin = np.clip(own - others.max(axis=1) if len(model.codes) > 1 else np.full(len(at), 9.0), -30, 30)
+        kept = [batch.column(c).take(pa.array(row[at])) for c in keep]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(row[at])), pa.array((np.arange(len(at)) - np.searchsorted(row[at], row[at])).astype(np.int32)), pa.array([model.codes[k] for k in path[at]]), pa.array(count), pa.array(chars), pa.array(1 / (1 + np.exp(-margin))), pa.array(place[at].astype(np.int64)), pa.array(place[at + count - 1].astype(np.int64))],
-            ["id", "stretch_no", "lang_code", "words", "characters", "confidence", "first_token", "last_token"],
+            [batch.column("id").take(pa.array(row[at])), *kept, pa.array((np.arange(len(at)) - np.searchsorted(row[at], row[at])).astype(np.int32)), pa.array([model.codes[k] for k in path[at]]), pa.array(count), pa.array(chars), pa.array(1 / (1 + np.exp(-margin))), pa.array(place[at].astype(np.int64)), pa.array(place[at + count - 1].astype(np.int64))],
+            ["id", *keep, "stretch_no", "lang_code", "words", "characters", "confidence", "first_token", "last_token"],
         )
 
 
@@ -281,11 +312,13 @@ class LanguageSearch:
         rows = labelled.join(F.broadcast(chosen), "id").select("code", tokens(F.col("text")).alias("tokens")).collect()
         self.model = fit([(r.code, [w for w in r.tokens if w[0].isalnum()]) for r in rows], path)
 
-    def stretches(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, stretch_no, lang_code, words, characters, confidence, first_token, last_token): consecutive stretches of each text."""
+    def stretches(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+        """(id, *keep, stretch_no, lang_code, words, characters, confidence, first_token, last_token): consecutive stretches of each text."""
         kind = df.select(id_col).schema[0].dataType.simpleString()
-        given = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("tokens")).where("id is not null")
-        return given.mapInArrow(partial(_stretches, model=self.model), f"id {kind}, stretch_no int, lang_code string, words long, characters long, confidence double, first_token long, last_token long")
+        keep = keep or {}
+        given = df.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in keep.items()], tokens(F.col(text_col)).alias("tokens")).where("id is not null")
+        kept = "".join(f"{k} {given.schema[k].dataType.simpleString()}, " for k in keep)
+        return given.mapInArrow(partial(_stretches, model=self.model, keep=list(keep)), f"id {kind}, {kept}stretch_no int, lang_code string, words long, characters long, confidence double, first_token long, last_token long")
 
     def languages(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, lang_code, confidence, share): the language of most of each text, by characters."""

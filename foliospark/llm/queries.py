@@ -117,9 +117,8 @@ def p9_plan(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    labels = docs.select(F.col("doc_id").alias("id"), label_code(F.col("lang")).alias("label"))
-    long = LanguageSearch(docs).stretches(docs).where(long_enough()).select("id", "lang_code").distinct()
-    return long.join(labels, "id").where(~F.col("lang_code").eqNullSafe(F.col("label"))).select(F.col("id").alias("doc_id"), "lang_code").distinct()
+    long = LanguageSearch(docs).stretches(docs, keep={"label": label_code(F.col("lang"))}).where(long_enough())
+    return long.where(~F.col("lang_code").eqNullSafe(F.col("label"))).select(F.col("id").alias("doc_id"), "lang_code").distinct()
 
 
 def p10_stretches(spark: SparkSession, d: str) -> DataFrame:

@@ -287,18 +287,30 @@ def test_labels(one, label, code):
 
 
 def test_forward_sums_all_segmentations():
-    p = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3}
-    prob = {0: 0.4, 1: 0.3, 2: 0.2, 3: 0.1}
+    p = {b"a": 0.4, b"ab": 0.2, b"b": 0.3, b"babab": 0.1}
+    root, size = L.piece_trie(p)
+    log = np.log(np.array([p[k] for k in sorted(p)]))
 
     def total(u):
-        return 1.0 if not u else sum(prob[p[u[:n]]] * total(u[n:]) for n in (1, 2) if n <= len(u) and u[:n] in p)
-
-    L._vocabularies["toy"] = p
-    model = L.Model("toy", ["x"], {k: np.array([v]) for k, v in prob.items()}, np.array([0.0]))
-    for u in (b"a", b"ab", b"abba", b"babab"):
-        assert math.isclose(float(np.exp(model.unit(u)[0])), total(u))
-    got = L._expected(Counter({b"ab": 1}), p, prob, 0.0, {})
-    assert math.isclose(got[2], 0.2 / 0.32) and math.isclose(got[0], 0.12 / 0.32)
+        return 1.0 if not u else sum(p[u[:n]] * total(u[n:]) for n in range(1, min(5, len(u)) + 1) if u[:n] in p)
+
+    def uses(u, piece):
+        """Expected uses of a piece, by listing every segmentation."""
+        def each(rest):
+            if not rest:
+                yield ()
+            for n in range(1, min(5, len(rest)) + 1):
+                if rest[:n] in p:
+                    yield from ((rest[:n], *more) for more in each(rest[n:]))
+        return sum(math.prod(p[x] for x in s) * s.count(piece) for s in each(u)) / total(u)
+
+    words = [b"a", b"ab", b"abba", b"babab", b"bababab", b"ab" * 7]
+    lattice = L.Lattice(words, root)
+    assert size == 4 and np.allclose(np.exp(lattice.scores(log[:, None])[:, 0]), [total(u) for u in words])
+    for n, piece in enumerate(sorted(p)):
+        assert math.isclose(lattice.expected(log, np.array([1.0, 2, 0, 1, 1, 3]))[n], sum(t * uses(u, piece) for t, u in zip((1, 2, 0, 1, 1, 3), words)), rel_tol=1e-9)
+    # a run of any length has a probability
+    assert np.isfinite(L.Lattice([b"ab" * 50_000], root).scores(log[:, None])).all()
 
 
 def test_languages(spark):
