@@ -8,7 +8,7 @@ from . import history
 from .distinctive import keyword_scores, query_keywords, term_scores
 from .language import LanguageSearch, label_code, long_enough
 from .leakage import LeakageSearch
-from .markup import clean_markup
+from .markup import clean_markup, markups
 from .mixing import Mixture
 from .neardup import NearDuplicates
 from .scans import ScanRepair
@@ -30,11 +30,11 @@ def p1_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    return clean_markup(table(spark, d, "chunks"), "chunk_id", "chunk_text").select(F.col("id").alias("chunk_id"), "clean_text", "markups")
+    return clean_markup(table(spark, d, "chunks"), "chunk_id", "chunk_text", F.col("metadata.source_type")).select(F.col("id").alias("chunk_id"), "clean_text", "markups")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_clean(spark, d).select("chunk_id", F.explode("markups").alias("markup"))
+    return markups(table(spark, d, "chunks"), "chunk_id", "chunk_text").select(F.col("id").alias("chunk_id"), F.explode("markups").alias("markup"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -184,9 +184,24 @@ def test_markup_keeps_structure_and_lines_with_links():
         assert kept in M.clean(body + part)[0].split("\n"), part
 
 
+def test_ratios_are_those_of_the_source(spark):
+    body = "<p>" + "A long sentence, with commas, and some more words. " * 6 + "</p>"
+    menu = "<nav><a href=x>Home</a></nav>"
+    rows = [(f"b{i}", body, "site") for i in range(20)] + [("m", menu, "site"), ("alone", menu, "other"), ("none", menu, None), ("t", "<p>See <a href=x>there</a> now.</p>", "site"), ("n", None, "site")]
+    df = spark.createDataFrame(rows, "id string, t string, source string")
+    got = {r.id: r.clean_text for r in M.clean_markup(df, "id", "t", F.col("source")).collect()}
+    # a menu alone in its chunk is known by the other texts of its source; with nothing to compare it stays
+    assert got["m"] == "" and got["alone"] == "Home" and got["none"] == "Home" and got["t"] == "See there now." and got["n"] is None
+    # one text as a source of its own: both ways agree
+    for text in (menu + body + body, body, f"<header><h1>Title</h1></header>{body}", "# T\n\n*a* <a href=x>b</a> c\n" + body):
+        row = M.clean_markup(spark.createDataFrame([("x", text)], "id string, t string"), "id", "t").first()
+        assert (row.clean_text, row.markups) == M.clean(text)
+
+
 def test_markup_rows(spark):
     df = spark.createDataFrame([("a", "<b>x</b>"), ("a", "<b>x</b>"), ("b", " plain "), ("c", None)], "id string, t string")
     assert {r.id: (r.clean_text, r.markups) for r in M.clean_markup(df, "id", "t").collect()} == {"a": ("x", ["html"]), "b": ("plain", []), "c": (None, [])}
+    assert [(r.id, r.markups) for r in M.markups(df, "id", "t").collect()] == [("a", ["html"])]
 
 
 def brute(word, words, least):
