@@ -2,11 +2,12 @@
 
 The index is a folder of Parquet tables in the shared folder that only grow, each partitioned by a hash of what it is probed by:
 
-    bands     key, text, s1, s2         band keys of accepted texts, with sketches of their signatures
-    accepted  text, doc, call, at       accepted documents
-    hashes    hash, at                  accepted file hashes
-    words     doc, call, wh, ...        hashed words of the documents seen, by chunk
-    joints    doc, call, wh             those across the ends of chunks
+    bands       key, text               band keys of accepted texts
+    signatures  text, doc, call, s1, s2 sketches of their signatures, and a document that has the text
+    accepted    text, doc, at           accepted documents and when
+    hashes      hash, at                accepted file hashes
+    words       doc, call, wh, ...      hashed words of the documents seen, by chunk
+    joints      doc, call, wh           those across the ends of chunks
 
 A call signs its own documents only, appends what it accepts, and reads of the index the partitions that its keys fall in; of older
 documents only the stored words of candidates are read, never their text. Calls come in arrival order, with any number of batches
@@ -49,7 +50,7 @@ def is_accepted(status: Column) -> Column:
 
 
 def _chunks(batches, scheme: Scheme, n: int):
-    """Of each chunk its word count, edge words and sum over its shingles; on the first row of a document in the batch, the least shingle in each bin over the batch."""
+    """Of each chunk its word count and the sum over its shingles; on the first row of a document in the batch, the least shingle in each bin over the batch."""
     for batch in batches:
         values, offsets = ragged(batch.column("wh"))
         lengths = np.diff(offsets)
@@ -57,22 +58,19 @@ def _chunks(batches, scheme: Scheme, n: int):
         sums = _sums(h, row, len(lengths))
         doc = batch.column("doc").dictionary_encode()
         code, docs = np.asarray(doc.indices), len(doc.dictionary)
-        h, own = distinct(h, code[row])
-        bin_ = h >> scheme.shift
-        first = np.ones(len(h), bool)
-        first[1:] = (bin_[1:] != bin_[:-1]) | (own[1:] != own[:-1])
-        least = lists(h[first], own[first], docs)
+        least = lists(*_least(h, code[row], scheme), docs)
         lead = np.full(len(code), -1)
         lead[np.unique(code, return_index=True)[1]] = np.unique(code)
-        head = np.minimum(lengths, n - 1)
-        signed = values.view(np.int64)
-        hi = np.repeat(offsets[:-1], head) + np.arange(head.sum()) - np.repeat(np.cumsum(head) - head, head)
-        ti = np.repeat(offsets[1:] - head, head) + np.arange(head.sum()) - np.repeat(np.cumsum(head) - head, head)
-        ofs = np.concatenate(([0], np.cumsum(head))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), batch.column("at"), batch.column("chunk"), pa.array(lengths.astype(np.int64)), pa.array(sums), pa.ListArray.from_arrays(ofs, pa.array(signed[hi])), pa.ListArray.from_arrays(ofs, pa.array(signed[ti])), least.take(pa.array(lead, mask=lead < 0)), batch.column("wh")],
-            ["doc", "at", "chunk", "n", "sum", "head", "tail", "least", "wh"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("chunk"), pa.array(lengths.astype(np.int64)), pa.array(sums), least.take(pa.array(lead, mask=lead < 0))], ["doc", "chunk", "n", "sum", "least"])
+
+
+def _least(h: np.ndarray, own: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each owner in each bin."""
+    h, own = distinct(h, own)
+    bin_ = h >> scheme.shift
+    first = np.ones(len(h), bool)
+    first[1:] = (bin_[1:] != bin_[:-1]) | (own[1:] != own[:-1])
+    return h[first], own[first]
 
 
 def _sums(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -91,11 +89,7 @@ def _joints(batches, n: int, scheme: Scheme):
         own = code[row]
         order = np.argsort(own, kind="stable")
         sums = _sums(h[order], own[order], docs)
-        h, own = distinct(h, own)
-        bin_ = h >> scheme.shift
-        first = np.ones(len(h), bool)
-        first[1:] = (bin_[1:] != bin_[:-1]) | (own[1:] != own[:-1])
-        yield pa.RecordBatch.from_arrays([doc.dictionary, pa.array(sums), lists(h[first], own[first], docs)], ["doc", "sum", "least"])
+        yield pa.RecordBatch.from_arrays([doc.dictionary, pa.array(sums), lists(*_least(h, own, scheme), docs)], ["doc", "sum", "least"])
 
 
 def _merge(batches, scheme: Scheme):
@@ -118,11 +112,7 @@ def _merge(batches, scheme: Scheme):
             if docs[0] != held:
                 docs, row = [held, *docs], row + 1
             values, row = np.concatenate((held_h, values)), np.concatenate((np.zeros(len(held_h), np.int64), row))
-        h, row = distinct(values, row)
-        bin_ = h >> scheme.shift
-        first = np.ones(len(h), bool)
-        first[1:] = (bin_[1:] != bin_[:-1]) | (row[1:] != row[:-1])
-        h, row = h[first], row[first]
+        h, row = _least(values, row, scheme)
         last = row == len(docs) - 1
         held, held_h = docs[-1], h[last]
         if len(docs) > 1:
@@ -142,10 +132,11 @@ class HistoryIndex:
     """The stored index at a path of the shared folder; a new one of its own if none is given."""
 
     SHAPES = {
-        "bands": "key long, text long, s1 long, s2 long, part int",
-        "accepted": f"text long, doc string, call string, at {AT}, part int",
+        "bands": "key long, text long, part int",
+        "signatures": "text long, doc string, s1 long, s2 long, call string, part int",
+        "accepted": f"text long, doc string, at {AT}, part int",
         "hashes": f"hash string, at {AT}, part int",
-        "words": "doc string, at int, chunk string, n long, sum long, head array<long>, tail array<long>, least array<long>, wh array<long>, call string, part int",
+        "words": "doc string, at int, chunk string, wh array<long>, call string, part int",
         "joints": "doc string, wh array<long>, call string, part int",
     }
 
@@ -178,8 +169,7 @@ class HistoryIndex:
 
     def _scan(self, chunks: DataFrame, docs: DataFrame) -> DataFrame:
         rows = chunks.select(F.col("document_id").alias("doc"), F.coalesce("metadata.chunk_index", F.lit(0)).alias("at"), F.col("chunk_id").alias("chunk"), "chunk_text").where("doc is not null")
-        rows = rows.join(maybe_broadcast(docs), "doc", "left_semi").select("doc", "at", "chunk", word_hashes(F.col("chunk_text")).alias("wh"))
-        return rows.mapInArrow(partial(_chunks, scheme=self.scheme, n=self.shingle), "doc string, at int, chunk string, n long, sum long, head array<long>, tail array<long>, least array<long>, wh array<long>")
+        return rows.join(maybe_broadcast(docs), "doc", "left_semi").select("doc", "at", "chunk", word_hashes(F.col("chunk_text")).alias("wh"))
 
     def _joint_words(self, scanned: DataFrame) -> DataFrame:
         """(doc, wh): at the start of each chunk, the words before it in its document and its own first ones.
@@ -187,7 +177,8 @@ class HistoryIndex:
         A document's chunks are put in order within blocks; what the blocks end with is put in order in a second, far smaller step.
         """
         n = self.shingle - 1
-        rows = scanned.where("n > 0").select("doc", "at", "chunk", "head", "tail").dropDuplicates(["doc", "chunk"]).withColumn("block", F.expr(f"at div {BLOCK}"))
+        edges = [F.slice("wh", 1, n).alias("head"), F.slice("wh", F.greatest(F.lit(1), F.size("wh") - n + 1), n).alias("tail")] if n else [F.array().cast("array<long>").alias(c) for c in ("head", "tail")]
+        rows = scanned.where(F.size("wh") > 0).select("doc", "at", "chunk", *edges).dropDuplicates(["doc", "chunk"]).withColumn("block", F.expr(f"at div {BLOCK}"))
 
         def before(col: str, w) -> Column:
             words = F.concat(*[F.coalesce(F.lag(col, k).over(w), F.array().cast("array<long>")) for k in range(n, 0, -1)])
@@ -207,9 +198,10 @@ class HistoryIndex:
         """Signs the given documents (doc) and stores their words. Gives those with enough words, (doc, text), where text is one number
         for all documents of the same shingles, and one signature of each text, (text, doc, s1, s2, keys)."""
         self._append("words", self._scan(chunks, docs), "doc", call)
-        scanned = self.read("words").where(F.col("call") == call)
-        self._append("joints", self._joint_words(scanned), "doc", call)
+        words = self.read("words").where(F.col("call") == call)
+        self._append("joints", self._joint_words(words), "doc", call)
         joints = self.read("joints").where(F.col("call") == call)
+        scanned = words.select("doc", "chunk", "wh").mapInArrow(partial(_chunks, scheme=self.scheme, n=self.shingle), "doc string, chunk string, n long, sum long, least array<long>").persist(StorageLevel.MEMORY_AND_DISK)
         cross = joints.mapInArrow(partial(_joints, n=self.shingle, scheme=self.scheme), "doc string, sum long, least array<long>")
         whole = F.sum(F.col("sum").cast("decimal(38,0)"))
         own = scanned.select("doc", "chunk", "n", "sum").dropDuplicates(["doc", "chunk"]).groupBy("doc").agg(F.sum("n").alias("n"), whole.alias("own")).where(F.col("n") >= max(self.min_words, self.shingle))
@@ -224,50 +216,51 @@ class HistoryIndex:
 
     # probing
 
-    def _near(self, a: str, b: str) -> Column:
-        far = F.bit_count(F.col(f"{a}1").bitwiseXOR(F.col(f"{b}1"))) + F.bit_count(F.col(f"{a}2").bitwiseXOR(F.col(f"{b}2")))
-        return far <= sketch_slack(self.similarity)
-
     def similar(self, asked: DataFrame, call: str) -> DataFrame:
         """(new, text): stored texts that reach the similarity with the texts of this call, (text, doc, s1, s2, keys). The earliest accepted one of each is always among them.
 
         In each bucket a new text first meets the bucket's few earliest accepted texts; only where none of these is similar does it
         meet the others, so a hot bucket of like texts costs little.
         """
-        keyed = asked.select(F.col("text").alias("new"), F.col("s1").alias("n1"), F.col("s2").alias("n2"), F.explode("keys").alias("key")).withColumn("part", self._part("key")).persist(StorageLevel.MEMORY_AND_DISK)
-        hits = self.read("bands").join(maybe_broadcast(keyed.select("part", "key").distinct()), ["part", "key"], "left_semi").dropDuplicates(["part", "key", "text"]).persist(StorageLevel.MEMORY_AND_DISK)
-        big = hits.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > self.wave).select("part", "key").persist(StorageLevel.MEMORY_AND_DISK)
+        keyed = asked.select(F.col("text").alias("new"), F.explode("keys").alias("key")).persist(StorageLevel.MEMORY_AND_DISK)
+        parts = [r[0] for r in keyed.select(self._part("key")).distinct().collect()]
+        rows = self.read("bands").where(F.col("part").isin(parts)).select("key", "text")
+        hits = rows.join(maybe_broadcast(keyed.select("key").distinct()), "key", "left_semi").dropDuplicates(["key", "text"]).persist(StorageLevel.MEMORY_AND_DISK)
+        big = hits.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.wave).select("key").persist(StorageLevel.MEMORY_AND_DISK)
         hot = not big.isEmpty()
-        first = crowd = hits
+        first = hits
         if hot:
             big = maybe_broadcast(big)
             since = self.read("accepted").groupBy("text").agg(F.min("at").alias("at"))
-            crowd = hits.join(big, ["part", "key"], "left_semi").join(since, "text").persist(StorageLevel.MEMORY_AND_DISK)
-            rank = F.row_number().over(W.partitionBy("part", "key").orderBy("at", "text"))
-            early = crowd.withColumn("rank", rank).where(F.col("rank") <= self.wave).drop("rank").persist(StorageLevel.MEMORY_AND_DISK)
-            first = hits.join(big, ["part", "key"], "left_anti").unionByName(early.select(*hits.columns))
-        met = written(keyed.join(first, ["part", "key"]).where((F.col("new") != F.col("text")) & self._near("n", "s")).select("part", "key", "new", "text"))
+            crowd = hits.join(big, "key", "left_semi").join(since, "text").persist(StorageLevel.MEMORY_AND_DISK)
+            early = crowd.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("at", "text"))).where(F.col("rank") <= self.wave).select("key", "text").persist(StorageLevel.MEMORY_AND_DISK)
+            first = hits.join(big, "key", "left_anti").unionByName(early)
+        met = written(keyed.join(first, "key").where("new <> text").select("key", "new", "text"))
         one = self.verified(met.select("new", "text").distinct(), asked, call)
         if not hot:
             return one
         one = written(one)
-        done = met.join(one, ["new", "text"], "left_semi").select("part", "key", "new").distinct()
-        open_ = keyed.join(big, ["part", "key"], "left_semi").join(done, ["part", "key", "new"], "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        behind = crowd.join(early.select("part", "key", "text"), ["part", "key", "text"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALT)).cast("int"))
-        rest = open_.join(behind, ["part", "key", "salt"]).where((F.col("new") != F.col("text")) & self._near("n", "s")).select("new", "text").distinct()
+        done = met.join(one, ["new", "text"], "left_semi").select("key", "new").distinct()
+        open_ = keyed.join(big, "key", "left_semi").join(done, ["key", "new"], "left_anti").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        behind = crowd.select("key", "text").join(early, ["key", "text"], "left_anti").withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALT)).cast("int"))
+        rest = open_.join(behind, ["key", "salt"]).where("new <> text").select("new", "text").distinct()
         return one.unionAll(self.verified(rest, asked, call)).distinct()
 
     def verified(self, pairs: DataFrame, asked: DataFrame, call: str) -> DataFrame:
         """The pairs (new, text) that reach the similarity, by whole sets of shingles out of the stored words."""
-        version = F.concat_ws("/", "call", "doc")
-        x = asked.select(F.col("text").alias("new"), F.col("doc").alias("dx"), F.lit(call).alias("cx"))
-        stored = self.read("accepted").join(maybe_broadcast(pairs.select("text").distinct().withColumn("part", self._part("text"))), ["part", "text"], "left_semi")
-        y = stored.groupBy("text").agg(F.min(F.struct("at", "call", "doc")).alias("s")).select("text", F.col("s.doc").alias("dy"), F.col("s.call").alias("cy"))
-        near = written(pairs.join(x, "new").join(y, "text").select("new", "text", "dx", "cx", "dy", "cy", F.concat_ws("/", "cx", "dx").alias("x"), F.concat_ws("/", "cy", "dy").alias("y")))
+        version = F.xxhash64("call", "doc")
+        x = asked.select(F.col("text").alias("new"), F.col("doc").alias("dx"), F.lit(call).alias("cx"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
+        # one document stands for a stored text, though several calls may have brought it
+        asked_for = maybe_broadcast(pairs.select("text").distinct().withColumn("part", self._part("text")))
+        stored = self.read("signatures").join(asked_for, ["part", "text"], "left_semi").groupBy("text").agg(F.min(F.struct("call", "doc", "s1", "s2")).alias("s"))
+        y = stored.select("text", F.col("s.doc").alias("dy"), F.col("s.call").alias("cy"), F.col("s.s1").alias("b1"), F.col("s.s2").alias("b2"))
+        far = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+        near = pairs.join(x, "new").join(y, "text").where(far <= sketch_slack(self.similarity))
+        near = written(near.select("new", "text", "dx", "cx", "dy", "cy", F.xxhash64("cx", "dx").alias("x"), F.xxhash64("cy", "dy").alias("y")))
         wanted = near.select(F.explode(F.array(F.struct(F.col("dx").alias("doc"), F.col("cx").alias("call")), F.struct(F.col("dy").alias("doc"), F.col("cy").alias("call")))).alias("v")).select("v.*").distinct().withColumn("part", self._part("doc"))
         stored = self.read("words").select("part", "doc", "call", "wh").unionByName(self.read("joints").select("part", "doc", "call", "wh"))
         words = stored.join(maybe_broadcast(wanted), ["part", "doc", "call"], "left_semi").select(version.alias("version"), "wh")
-        sets = words.mapInArrow(partial(_shingled, n=self.shingle), "version string, h long").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        sets = words.mapInArrow(partial(_shingled, n=self.shingle), "version long, h long").distinct().persist(StorageLevel.MEMORY_AND_DISK)
         sizes = sets.groupBy("version").agg(F.count("*").alias("size"))
         both = near.select("new", "text", "x", "y").join(sets.select(F.col("version").alias("x"), "h"), "x").join(sets.select(F.col("version").alias("y"), "h"), ["y", "h"]).groupBy("new", "text", "x", "y").agg(F.count("*").alias("both"))
         both = both.join(sizes.select(F.col("version").alias("x"), F.col("size").alias("nx")), "x").join(sizes.select(F.col("version").alias("y"), F.col("size").alias("ny")), "y")
@@ -285,10 +278,12 @@ class HistoryIndex:
         texts, signed = self.sign(chunks, rec.where("doc is not null").select("doc").distinct(), call)
         by_hash = rec.where("ok and hash is not null").groupBy("hash").agg(F.min("at").alias("at"))
         self._append("hashes", by_hash, "hash")
-        accepted = written(rec.where("ok and doc is not null").groupBy("doc").agg(F.min("at").alias("at")).join(texts, "doc").select("text", "doc", F.lit(call).alias("call"), "at"))
+        accepted = written(rec.where("ok and doc is not null").groupBy("doc").agg(F.min("at").alias("at")).join(texts, "doc").select("text", "doc", "at"))
         # only texts that no earlier call accepted bring keys
         fresh = accepted.select("text", self._part("text").alias("part")).distinct().join(self.read("accepted").select("part", "text").distinct(), ["part", "text"], "left_anti").drop("part")
-        self._append("bands", signed.join(fresh, "text").select(F.explode("keys").alias("key"), "text", "s1", "s2"), "key")
+        fresh = written(signed.join(fresh, "text"))
+        self._append("bands", fresh.select(F.explode("keys").alias("key"), "text"), "key")
+        self._append("signatures", fresh.select("text", "doc", "s1", "s2"), "text", call)
         self._append("accepted", accepted, "text")
         return call, texts, signed
 
