@@ -50,6 +50,8 @@ SPACED = regex.compile(r"\S(?: +\S){4,}")
 #: A number of up to four digits or in Roman numerals at either end of a line; of digits only where letters were spaced.
 ENDS = (regex.compile(r"^(\d{1,4}|\(?[ivxlc]+\)?)[ \t]{2,}(?=\S)"), regex.compile(r"(?<=\S)[ \t]{2,}(\d{1,4}|\(?[ivxlc]+\)?)$"))
 CLOSE_ENDS = (regex.compile(r"^(\d{1,4}) (?=\S)"), regex.compile(r"(?<=\S) (\d{1,4})$"))
+#: What every header shows at an end or by its spacing; most lines do not and are looked at no further.
+MAYBE = regex.compile(r"[\d(ivxlc]|Chapter|Unit|Part|Lecture|Section|CHAPTER|UNIT|PART|\S \S \S "), regex.compile(r"(?:[\divxlc)]|[Rr]eader|READER| \S)$")
 #: What a header never ends with.
 SENTENCE_ENDS = tuple(".!?;:,…。！？，、；：।؟")
 
@@ -234,7 +236,7 @@ def furniture(line: str, start: int | None, end: int | None, running=()) -> tupl
     page = PAGE.fullmatch(line) if len(line) <= 24 else None
     if page:
         return False, _on_page(page["n"] or page["r"], start, end)
-    if line.endswith(SENTENCE_ENDS):
+    if line.endswith(SENTENCE_ENDS) or not (running or MAYBE[0].match(line) or MAYBE[1].search(line, max(0, len(line) - 8))):
         return False, False
     hits = [numbers for body, numbers in _parts(line) if any(h.fullmatch(body) for h in HEADERS) or running and form(body) in running]
     return bool(hits), any(_on_page(g, start, end) for numbers in hits for g in numbers)
@@ -442,14 +444,14 @@ class ScanRepair:
 
     def repaired(self) -> DataFrame:
         """(id, repaired): the text of every chunk as continuous paragraphs."""
-        flowed = written(self.flowed())
+        flowed, misread = written(self.flowed()), written(self.misread)
         texts = flowed.where("text is not null").select("id", F.regexp_extract_all(F.lower("text"), F.lit(SCANNED), F.lit(0)).alias("words"))
         best = F.max("count").over(W.partitionBy("word"))
         # far rarer candidates are mostly misread themselves: they come last where context doesn't decide
-        choice = self.misread.where("right is not null").withColumn("likely", F.col("count") * RATIO >= best).persist(StorageLevel.MEMORY_AND_DISK)
+        choice = misread.where("right is not null").withColumn("likely", F.col("count") * RATIO >= best).persist(StorageLevel.MEMORY_AND_DISK)
         many = choice.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
         open_ = choice.join(maybe_broadcast(many), "word", "left_semi")
-        met = self._followed(texts, open_.select("right").unionAll(choice.select("word")).distinct()).persist(StorageLevel.MEMORY_AND_DISK)
+        met = written(self._followed(texts, open_.select("right").unionAll(choice.select("word")).distinct()))
         follows = met.groupBy("prev", F.col("word").alias("right")).agg(F.count("*").alias("times"))
         first = choice.groupBy("word").agg(F.max_by("right", F.struct("likely", -F.col("cost"), "count", "right")).alias("right"))
         decided = follows.join(maybe_broadcast(open_), "right").groupBy("prev", "word").agg(F.max_by("right", F.struct("times", "likely", -F.col("cost"), "count", "right")).alias("by_context"))
