@@ -53,6 +53,7 @@ def main(args: list[str] | None = None) -> int:
         found = files.files(spark, a.file or a.dir, a.recursive)
         out = ingest.ingest(spark, found, collection, manifest, a.force or a.reset, settings["chunking"]["target_size"], settings["chunking"]["overlap_size"])
         out.groupBy("status").agg(F.count("*").alias("files"), F.sum("chunks_created").alias("chunks")).show()
+        out.where("error is not null").select("path", "error").orderBy("path").show(100, truncate=False)
         return 0
     chunks = collection.read().select("chunk_id", "chunk_text", "document_id", "metadata")
     if a.command == "query":

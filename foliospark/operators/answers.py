@@ -7,6 +7,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 
 SEPARATOR = "\n\n" + "-" * 80 + "\n\n"
+#: What is said without context and without an answer.
 NO_CONTEXT = "I do not have enough context to answer."
 NO_ANSWER = "I was unable to generate an answer."
 #: G1, in our own words.
@@ -47,10 +48,20 @@ def first_sentence(text: Column) -> Column:
     return F.get(T.sentences(text), F.lit(0))
 
 
-def answers(queries: DataFrame, results: DataFrame, query_id: str, query: str, model=first_sentence) -> DataFrame:
-    """(query_id, answer) of every query that isn't blank. model: the answer from the text of the first result."""
-    top = results.groupBy(query_id).agg(F.min_by("chunk_text", F.struct("rank", "chunk_id")).alias("text"))
-    joined = queries.where(F.trim(query) != "").select(query_id).join(top, query_id, "left").join(citations(results, query_id), query_id, "left")
-    said = S.strip_sources(model(F.col("text")))
+def answers(queries: DataFrame, results: DataFrame, query_id: str, query: str, model=first_sentence, prompt: bool = False) -> DataFrame:
+    """(query_id, answer) of every query that isn't blank.
+
+    model: the answer from the text of the first result; with prompt, from INSTRUCTIONS and the user message with the context of all
+    results (G1-G3), as a chat model takes them: model(system, user), two columns into one.
+    """
+    asked = queries.where(F.trim(query) != "").select(query_id, F.col(query).alias("_query"))
+    joined = asked.join(citations(results, query_id), query_id, "left")
+    if prompt:
+        joined = joined.join(context_blocks(results, query_id), query_id, "left")
+        given = model(F.lit(INSTRUCTIONS), user_message(F.col("_query"), F.col("context")))
+    else:
+        joined = joined.join(results.groupBy(query_id).agg(F.min_by("chunk_text", F.struct("rank", "chunk_id")).alias("text")), query_id, "left")
+        given = model(F.col("text"))
+    said = S.strip_sources(given)
     out = F.when(F.col("sources").isNull(), NO_CONTEXT).when(F.coalesce(said, F.lit("")) == "", NO_ANSWER).otherwise(F.concat(T.strip(said), F.lit("\n\nSources:\n"), F.col("sources")))
     return joined.select(query_id, out.alias("answer"))

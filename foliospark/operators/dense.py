@@ -4,14 +4,18 @@ Queries go to the tasks in blocks of bounded size; a task keeps the best k of ea
 and batch are all that is shuffled. NULL vectors and vectors of another length than the queries' find nothing.
 """
 
+import uuid
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import file_system, shared_dir
+
 #: Query vectors that are sent to the tasks at once.
 BLOCK = 2048
 #: Rows the index is fitted on at most.
@@ -26,33 +30,45 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.take(pa.array(keep)).flatten(), np.float64).reshape(-1, width), keep
 
 
+def _squared(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Squared distances of all q to all r, by one matrix product; to six places, as they are given out."""
+    d = (q * q).sum(axis=1)[:, None] - 2 * (q @ r.T) + (r * r).sum(axis=1)[None]
+    return np.round(np.maximum(d, 0), 6) + 0.0
+
+
+def _smallest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest of each row; of equal ones those furthest to the left."""
+    if d.shape[1] <= k:
+        return np.nonzero(np.ones_like(d, bool))
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    less, equal = d < edge, d == edge
+    return np.nonzero(less | equal & (np.cumsum(equal, axis=1) <= k - less.sum(axis=1, keepdims=True)))
+
+
 def _nearest(batches, queries: np.ndarray, names: list, k: int, cells: dict | None = None):
-    """The k nearest rows of each batch to each query, by squared distance. cells: the queries that visit each cell; None for all."""
+    """The k nearest rows of each batch to each query, by squared distance and id; a repeated id counts once. cells: the queries that visit each cell; None for all."""
     width = queries.shape[1]
     for batch in batches:
         rows, keep = _matrix(batch.column("vector"), width)
-        groups = [(np.arange(len(rows)), np.arange(len(queries)))] if cells is None else [(np.flatnonzero(np.asarray(batch.column("cell"))[keep] == c), cells.get(int(c), np.empty(0, int))) for c in np.unique(np.asarray(batch.column("cell"))[keep])]
-        out_q, out_r, out_d = [], [], []
+        ids = batch.column("id").take(pa.array(keep))
+        order = np.asarray(pc.sort_indices(ids))
+        ids, rows, keep = ids.take(pa.array(order)), rows[order], keep[order]
+        if len(ids) > 1:
+            once = np.concatenate(([True], np.asarray(pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True))))
+            ids, rows, keep = ids.filter(pa.array(once)), rows[once], keep[once]
+        own = None if cells is None else np.asarray(batch.column("cell"))[keep]
+        groups = [(np.arange(len(rows)), np.arange(len(queries)))] if cells is None else [(np.flatnonzero(own == c), cells.get(int(c), np.empty(0, int))) for c in np.unique(own)]
+        out_q, out_r, out_d = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
         for r, q in groups:
-            if not len(r) or not len(q):
-                continue
-            for at in range(0, len(q), 64):
-                part = q[at : at + 64]
-                d = ((queries[part][:, None, :] - rows[r][None, :, :]) ** 2).sum(axis=2) if len(r) <= 4096 else np.concatenate([((queries[part][:, None, :] - rows[r[s : s + 4096]][None, :, :]) ** 2).sum(axis=2) for s in range(0, len(r), 4096)], axis=1)
-                # distances are compared as they are given out, ties by id in the last step: keep all ties at the edge
-                d = np.round(d, 6)
-                if d.shape[1] > k:
-                    edge = np.partition(d, k - 1, axis=1)[:, k - 1]
-                    i, j = np.nonzero(d <= edge[:, None])
-                else:
-                    i, j = np.nonzero(np.ones_like(d, bool))
+            for at in range(0, len(q) if len(r) else 0, 256):
+                part = q[at : at + 256]
+                d = _squared(queries[part], rows[r])
+                i, j = _smallest(d, k)
                 out_q.append(part[i])
                 out_r.append(r[j])
                 out_d.append(d[i, j])
-        q = np.concatenate(out_q) if out_q else np.empty(0, int)
-        r = np.concatenate(out_r) if out_r else np.empty(0, int)
-        d = np.concatenate(out_d) if out_d else np.empty(0)
-        yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(q)) if len(names) else pa.array([], pa.string()), batch.column("id").take(pa.array(keep[r])), pa.array(d)], ["query_id", "id", "distance"])
+        q, r = np.concatenate(out_q), np.concatenate(out_r)
+        yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(q)) if len(names) else pa.array([], pa.string()), ids.take(pa.array(r)), pa.array(np.concatenate(out_d))], ["query_id", "id", "distance"])
 
 
 def _blocks(queries: DataFrame, query_id: str, vector: str):
@@ -70,7 +86,7 @@ def _blocks(queries: DataFrame, query_id: str, vector: str):
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", F.round(1 / (1 + F.col("distance")), 6))
+    return found.groupBy("query_id", "id").agg(F.min("distance").alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k).withColumn("similarity", F.round(1 / (1 + F.col("distance")), 6))
 
 
 def topk(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, id_col: str, vector: str, k: int) -> DataFrame:
@@ -94,34 +110,43 @@ def topk_per_course(ranked: DataFrame, keep: Column, limit: int) -> DataFrame:
 
 
 class CellIndex:
-    """An inverted file: every row is in the cell of its nearest centre; a query visits its nearest cells.
+    """An inverted file: every row is stored with the cell of its nearest centre; a query reads its nearest cells only.
 
     Centres are fitted by k-means on a bounded sample (FIT_ROWS rows by hash of the id); all rows are indexed. The defaults reach a recall of
-    0.9 even on vectors without clusters, at three quarters of the distances; clustered vectors do with fewer visits.
+    0.9 even on vectors without clusters, at three quarters of the distances; clustered vectors do with far fewer visits.
     """
 
-    def __init__(self, corpus: DataFrame, id_col: str, vector: str, cells: int = 16, rounds: int = 8):
+    def __init__(self, corpus: DataFrame, id_col: str, vector: str, cells: int = 16, rounds: int = 8, path: str | None = None):
+        """path: the folder of the stored rows, one folder for each cell; one of its own if none is given."""
         base = corpus.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
         sample = np.array([r.vector for r in base.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()], float)
         cells = max(1, min(cells, len(sample)))
         centres = sample[:: max(1, len(sample) // cells)][:cells].copy() if len(sample) else np.zeros((1, 1))
         for _ in range(rounds if len(sample) else 0):
-            own = ((sample[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            own = _squared(sample, centres).argmin(axis=1)
             for c in range(len(centres)):
                 if (own == c).any():
                     centres[c] = sample[own == c].mean(axis=0)
-        self.centres = centres
+        self.centres, self.spark = centres, corpus.sparkSession
         self.kind = base.schema["id"].dataType.simpleString()
-        self.rows = base.mapInArrow(partial(_cells, centres=centres), f"id {self.kind}, vector array<double>, cell int")
+        self.path = path or f"{shared_dir(self.spark)}/cells-{uuid.uuid4().hex}"
+        if path is None:
+            fs, p = file_system(self.spark, self.path)
+            fs.deleteOnExit(p)
+        base.mapInArrow(partial(_cells, centres=centres), f"id {self.kind}, vector array<double>, cell int").write.partitionBy("cell").parquet(self.path)
+
+    def rows(self, cells) -> DataFrame:
+        """The stored rows of these cells; other folders are not read."""
+        return self.spark.read.schema(f"id {self.kind}, vector array<double>, cell int").parquet(self.path).where(F.col("cell").isin(*[int(c) for c in cells]))
 
     def topk(self, queries: DataFrame, query_id: str, vector: str, k: int, visits: int = 12) -> DataFrame:
         kind = queries.select(query_id).schema[0].dataType.simpleString()
         shape = f"query_id {kind}, id {self.kind}, distance double"
         found = None
         for names, matrix in _blocks(queries, query_id, vector):
-            near = np.argsort(((matrix[:, None, :] - self.centres[None]) ** 2).sum(axis=2), axis=1)[:, :visits]
-            cells = {c: np.flatnonzero((near == c).any(axis=1)) for c in range(len(self.centres))}
-            part = self.rows.mapInArrow(partial(_nearest, queries=matrix, names=names, k=k, cells=cells), shape)
+            near = np.argsort(_squared(matrix, self.centres), axis=1)[:, :visits]
+            cells = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+            part = self.rows(cells).mapInArrow(partial(_nearest, queries=matrix, names=names, k=k, cells=cells), shape)
             found = part if found is None else found.unionAll(part)
         if found is None:
             found = queries.sparkSession.createDataFrame([], shape)
@@ -131,5 +156,5 @@ class CellIndex:
 def _cells(batches, centres: np.ndarray):
     for batch in batches:
         rows, keep = _matrix(batch.column("vector"), centres.shape[1])
-        own = np.concatenate([((rows[s : s + 2048, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) for s in range(0, len(rows), 2048)]) if len(rows) else np.empty(0, int)
+        own = _squared(rows, centres).argmin(axis=1) if len(rows) else np.empty(0, int)
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), batch.column("vector").take(pa.array(keep)), pa.array(own.astype(np.int32))], ["id", "vector", "cell"])

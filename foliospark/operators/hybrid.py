@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..session import maybe_broadcast
 from . import lexical
 
 
@@ -64,5 +65,5 @@ def hybrid(dense: DataFrame, lex: DataFrame, details: DataFrame, queries: DataFr
     """
     d = dense.select("query_id", "id", F.col("rank").alias("dense_rank"), F.col("similarity").alias("dense_similarity")).withColumn("dense_norm", F.round(normalized(F.col("dense_similarity"), ["query_id"]), 6))
     b = lex.select("query_id", "id", F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score")).withColumn("bm25_norm", F.round(normalized(F.col("bm25_score"), ["query_id"]), 6))
-    merged = merge(d, b, ["query_id", "id"]).join(details, "id").join(F.broadcast(queries) if queries.limit(100_001).count() <= 100_000 else queries, "query_id")
+    merged = merge(d, b, ["query_id", "id"]).join(details, "id").join(maybe_broadcast(queries), "query_id")
     return first(exercise_filtered(fused(merged, "query", "section", alpha), "query", "section"), k)

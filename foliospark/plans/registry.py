@@ -512,13 +512,13 @@ def bm25_terms(spark, d):
 @query(f"with {_BM25.replace('WHEREC', '')} select query_id, id, score, rank::int as rank from bm where rank <= 8")
 def bm25_topk(spark, d):
     """R3, O2."""
-    return lexical.topk(_queries(spark, d), _texts(spark, d), "query_id", "query", "chunk_id", "chunk_text", 8).select("query_id", "id", "score", "rank")
+    return lexical.topk(_queries(spark, d), table(spark, d, "chunks"), "query_id", "query", "chunk_id", "chunk_text", 8).select("query_id", "id", "score", "rank")
 
 
 @query(f"with {_BM25.replace('WHEREC', chr(10) + ' where lower(metadata.course) = ' + chr(39) + 'stx210' + chr(39))} select query_id, id, score, rank::int as rank from bm where rank <= 8")
 def bm25_filtered(spark, d):
     """R2: the corpus is filtered first, so its statistics are those of the course."""
-    course = listing.matching(_chunks(spark, d), course="stx210")
+    course = listing.matching(table(spark, d, "chunks"), course="stx210")
     return lexical.topk(_queries(spark, d), course, "query_id", "query", "chunk_id", "chunk_text", 8).select("query_id", "id", "score", "rank")
 
 
@@ -601,7 +601,7 @@ def exercise_filter(spark, d):
 def section_penalty(spark, d):
     """P12, P13, F11, F12 for every query and section name."""
     sections = table(spark, d, "chunks").select("metadata.section").distinct()
-    q = F.broadcast(_queries(spark, d))
+    q = F.broadcast(_queries(spark, d))  # the sixty queries against every section name is what is asked for here
     return sections.crossJoin(q).select("query_id", "section", S.is_practice(F.col("query")).alias("practice"), S.section_penalty(F.col("section"), F.col("query")).alias("penalty"), S.is_exercise(F.col("section")).alias("exercise"))
 
 
@@ -621,14 +621,10 @@ hf as (select *, row_number() over (partition by query_id order by rank) as plac
 
 
 def _hybrid(spark, d, k=_K, top=_K):
-    texts = _chunks(spark, d).select("chunk_id", "chunk_text", "metadata")
-    q = _queries(spark, d)
-    vectors = embedding.embed(texts.select("chunk_id", "chunk_text"), "chunk_text")
-    asked = q.withColumn("v", embedding.hashed_vector(F.col("query"))).where("v is not null")
-    near = dense.topk(asked, vectors, "query_id", "v", "chunk_id", "embedding", k)
-    lex = lexical.topk(q, texts, "query_id", "query", "chunk_id", "chunk_text", k)
-    details = texts.select(F.col("chunk_id").alias("id"), "metadata.section", "chunk_text", "metadata")
-    return hybrid.hybrid(near, lex, details, q, top, _ALPHA)
+    from .search import retrieve
+
+    chunks = table(spark, d, "chunks")
+    return hybrid.first(retrieve(_queries(spark, d), chunks, chunks, k, _ALPHA), top)
 
 
 @query(f"with {_BM25.replace('WHEREC', '')}, {_HASHED} select query_id, id, rank::int as rank, hybrid_score, raw, penalty, dense_rank::int as dense_rank, bm25_rank::int as bm25_rank from hy_top")
@@ -662,7 +658,7 @@ def search_notes(spark, d):
     """The search service over every query, without filters."""
     from .search import search
 
-    return search(_queries(spark, d), _chunks(spark, d), top_k=5, candidates=_K, alpha=_ALPHA)
+    return search(_queries(spark, d), table(spark, d, "chunks"), top_k=5, candidates=_K, alpha=_ALPHA)
 
 
 @query()
@@ -670,7 +666,7 @@ def search_notes_filtered(spark, d):
     """R11 within a course and a week."""
     from .search import search
 
-    return search(_queries(spark, d), _chunks(spark, d), course="STX210", week=None, top_k=5, alpha=_ALPHA)
+    return search(_queries(spark, d), table(spark, d, "chunks"), course="STX210", week=None, top_k=5, alpha=_ALPHA)
 
 
 # listings
@@ -811,7 +807,9 @@ def slug_all(spark, d):
     return _slugs(table(spark, d, "documents"))
 
 
-@query("with f as (select distinct path, file_hash, file_size from ingestion_manifest where batch_no = 0) select count(*) as files, sha256(string_agg(concat_ws('|', path, coalesce(file_hash, ''), file_size::varchar), chr(10) order by path, file_hash nulls first, file_size)) as fingerprint from f")
+@query("""with f as (select distinct path, file_hash, file_size from ingestion_manifest where batch_no = 0), l as (select sha256(concat_ws('|', path, coalesce(file_hash, ''), file_size::varchar)) as d from f),
+p as (select ('0x' || left(d, 4))::int % 1024 as bucket, ('0x' || d[1:13])::bigint as p0, ('0x' || d[14:26])::bigint as p1, ('0x' || d[27:39])::bigint as p2, ('0x' || d[40:52])::bigint as p3 from l), s as (select bucket, count(*) as n, sum(p0) as p0, sum(p1) as p1, sum(p2) as p2, sum(p3) as p3 from p group by bucket)
+select coalesce(sum(n), 0)::bigint as files, sha256(string_agg(concat_ws('|', bucket, n, p0, p1, p2, p3), chr(10) order by bucket)) as fingerprint from s""")
 def fingerprint(spark, d):
     """One value that changes with any file of history."""
     from ..sources.files import fingerprint as of
@@ -831,7 +829,7 @@ def eval_run(spark, d):
     from .evaluate import pipeline_keys, records, results
 
     q = table(spark, d, "queries")
-    return records(results(q, _chunks(spark, d), pipeline_keys("all")), q).select("query_id", "pipeline", "grp", F.round("retrieval_score", 6).alias("retrieval_score"), F.array_join("top_chunk_ids", ",").alias("top_chunk_ids"))
+    return records(results(q, table(spark, d, "chunks"), pipeline_keys("all")), q).select("query_id", "pipeline", "grp", F.round("retrieval_score", 6).alias("retrieval_score"), F.array_join("top_chunk_ids", ",").alias("top_chunk_ids"))
 
 
 @query()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Most rows that an operator broadcasts. Larger sides go through a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Most bytes of them.
-BROADCAST_BYTES = 8_000_000
+BROADCAST_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +45,7 @@ def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
     A side that is small is computed here, once, and joined as given rows; of a larger one no more than the bound is read.
     """
-    most = min(most, BROADCAST_BYTES // max(1, df._jdf.schema().defaultSize()))
+    most = min(most, BROADCAST_BYTES // (16 + df._jdf.schema().defaultSize()))  # a row has a header too
     rows = df.limit(most + 1).toArrow()
     if rows.num_rows > most or rows.nbytes > BROADCAST_BYTES:
         return df

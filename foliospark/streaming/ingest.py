@@ -5,13 +5,11 @@ chunks. A micro-batch that is run again after a failure finds its files in the m
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import paths as P
 from ..operators.store import Collection
 from ..plans.ingest import ingest
-from ..sources.files import EXTENSIONS
+from ..sources.files import supported
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:
@@ -24,9 +22,7 @@ def start(spark: SparkSession, path: str, collection: Collection, manifest_path:
     every = options.pop("processing_time", None)
 
     def batch(df: DataFrame, _: int) -> None:
-        name = P.file_name(F.col("path"))
-        found = df.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size"), "content")
-        ingest(df.sparkSession, found.where(~name.startswith(".") & P.extension(F.col("path")).isin(*EXTENSIONS)), collection, manifest_path, **options)
+        ingest(df.sparkSession, supported(df), collection, manifest_path, **options)
 
     writer = stream_files(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -10,7 +10,7 @@ def test_paths(one, path, course, source):
     assert (one(P.course, path), one(P.raw_source, path)) == (course, source)
 
 
-@pytest.mark.parametrize("path, week", [("course/Week-05/notes.md", "week_05"), ("course/week5/notes.md", "week_05"), ("week_123/x", "week_123"), ("weekly/x", None), (None, None)])
+@pytest.mark.parametrize("path, week", [("x/WEEK-3/a.md", "week_03"), ("x/ week11 /b.md", "week_11"), ("week_123/x", "week_123"), ("weekly/x", None), (None, None)])
 def test_week(one, path, week):
     assert one(P.week, path) == week
 

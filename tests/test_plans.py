@@ -33,6 +33,46 @@ def test_ingest_twice_then_changed(spark, tmp_path):
     assert {r.chunk_text for r in c.read().where("document_id is not null").collect()} == {"# New\n\nOther text now.", "Bias and variance. They trade off."}
 
 
+def test_every_file_has_an_outcome(spark, tmp_path):
+    import pyarrow as pa
+
+    raw = tmp_path / "raw/textbooks/STAT"
+    raw.mkdir(parents=True)
+    for name, body in (("a.pdf", b"good"), ("B.PDF", b"bad"), ("n.md", b"Some words here."), ("z.txt", b"\xff\xfe")):
+        (raw / name).write_bytes(body)
+    take = lambda rows: {r.path.rsplit("/", 1)[1]: (r.status, r.error) for r in rows.collect()}
+    found = lambda: files.files(spark, str(tmp_path / "raw"))
+    c, m = store.Collection(spark, f"file://{tmp_path}/c", COLUMNS), f"file://{tmp_path}/m"
+    none = "No parser for PDF files is given."
+    assert take(ingest.ingest(spark, found(), c, m)) == {"a.pdf": ("failed", none), "B.PDF": ("failed", none), "n.md": ("success", None), "z.txt": ("failed", "The file is no UTF-8 text.")}
+
+    def parser(batches):
+        for b in batches:
+            rows = [(i, k, 3 + k, "text", "A long enough sentence about the bias and the variance of models. " * 4) for i, body in zip(b["document_id"].to_pylist(), b["content"].to_pylist()) if body == b"good" for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["document_id", "item_pos", "page_no", "label", "text"])
+
+    assert take(ingest.ingest(spark, found(), c, m, parser=parser)) == {"a.pdf": ("success", None), "B.PDF": ("failed", "No text was extracted."), "n.md": ("skipped", None), "z.txt": ("failed", "The file is no UTF-8 text.")}
+    pages = {(r.metadata.page_start, r.metadata.source_type) for r in c.read().where("metadata.file_name = 'a.pdf'").collect()}
+    assert min(p for p, _ in pages) == 3 and {t for _, t in pages} == {"textbook_pdf"}
+    assert {r.error for r in files.read_manifest(spark, m).where("status = 'failed'").collect()} == {"No text was extracted.", "The file is no UTF-8 text."}
+
+
+def test_a_job_that_dies_is_run_again(spark, tmp_path, monkeypatch):
+    raw = folder(tmp_path)
+    c, m = store.Collection(spark, f"file://{tmp_path}/c", COLUMNS), f"file://{tmp_path}/m"
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "write_manifest", dies)
+        with pytest.raises(OSError):
+            ingest.ingest(spark, files.files(spark, raw), c, m)
+    assert c.count() == 2 and files.read_manifest(spark, m).count() == 0
+    out = {r.status for r in ingest.ingest(spark, files.files(spark, raw), c, m).collect()}
+    assert out == {"success", "failed"} and c.count() == 2
+
+
 def test_stream(spark, tmp_path):
     raw = folder(tmp_path)
     c = store.Collection(spark, f"file://{tmp_path}/c", COLUMNS)
@@ -63,6 +103,15 @@ def test_answers_without_context(spark):
     assert answers.answers(q, none, "query_id", "query").first().answer == answers.NO_CONTEXT
 
 
+def test_a_chat_model_gets_the_prompt(spark):
+    from pyspark.sql import functions as F
+
+    q = spark.createDataFrame([("q", "What is it?"), ("b", " ")], "query_id string, query string")
+    rows = spark.createDataFrame([("q", k, f"c{k}", f"text {k}", ("f.pdf", "S", 1, 1, "T", "C", "x", "1")) for k in (1, 2)], "query_id string, rank int, chunk_id string, chunk_text string, metadata struct<file_name:string,section:string,page_start:int,page_end:int,title:string,course:string,source_type:string,chapter:string>")
+    said = answers.answers(q, rows, "query_id", "query", lambda system, user: F.concat(F.left(system, F.lit(17)), F.lit("/"), user), prompt=True).collect()
+    assert len(said) == 1 and said[0].answer.startswith("You help students/Context:\n[Context Block 1]") and "text 2" in said[0].answer and "Question:\nWhat is it?" in said[0].answer and said[0].answer.endswith("- f.pdf, S, pages 1")
+
+
 def test_citations_are_distinct(spark):
     rows = spark.createDataFrame([("q", k, f"c{k}", "t", ("f.pdf", "S", 1, 1) if k != 3 else (None, None, None, None)) for k in (1, 2, 3, 4)], "query_id string, rank int, chunk_id string, chunk_text string, metadata struct<file_name:string,section:string,page_start:int,page_end:int>")
     assert answers.citations(rows, "query_id").first().sources == "- f.pdf, S, pages 1\n- unknown file, unknown section, pages unknown"
@@ -93,6 +142,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "chunks/a.json").write_text(json.dumps([{"chunk_id": "c", "chunk_text": "t", "metadata": {"course": "X"}}], indent=1))
     (tmp_path / "chunks/bad.json").write_text("{not json")
     assert [r.metadata.course for r in files.chunk_files(spark, str(tmp_path / "chunks")).where("chunk_id is not null").collect()] == ["X"]
+    (tmp_path / "chunks/one.json").write_text(json.dumps({"chunk_id": "d"}))
+    assert {tuple(r) for r in files.chunk_file_warnings(spark, str(tmp_path / "chunks")).collect()} == {("bad.json", "not JSON"), ("one.json", "no list of records")}
     assert files.read_manifest(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(ValueError):
         files.pages_between(rows, 3, 2)
@@ -140,14 +191,14 @@ def test_saved_index(spark, tmp_path):
     from foliospark.operators import lexical
     from foliospark.operators.lexical_index import LexicalIndex
 
-    docs = spark.createDataFrame([("a", "least squares regression"), ("b", "nearest neighbour"), ("c", None)], "id string, t string")
-    q = spark.createDataFrame([("q", "squares regression")], "query_id string, query string")
+    docs = spark.createDataFrame([("a", "steady rivers carve"), ("b", "quiet harbour"), ("c", None)], "id string, t string")
+    q = spark.createDataFrame([("q", "rivers carve")], "query_id string, query string")
     index = LexicalIndex(spark, f"file://{tmp_path}/i")
     assert index.search(q, "query_id", "query", 2).count() == 0 and index.ensure(docs.where("false"), "id", "t", "f") == "empty"
     assert [index.ensure(docs, "id", "t", f) for f in ("f", "f", "g")] == ["built", "kept", "built"]
     key = lambda df: sorted((r.id, r.score, r["rank"]) for r in df.collect())
     assert key(index.search(q, "query_id", "query", 3)) == key(lexical.topk(q, docs, "query_id", "query", "id", "t", 3))
-    for f in (tmp_path / "i/stats").iterdir():
+    for f in next((tmp_path / "i").glob("*/stats")).iterdir():
         f.unlink()
     assert index.ensure(docs, "id", "t", "g") == "built"
 
