@@ -160,6 +160,18 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
+#: Abbreviations that a name, a number or a reference follows, so that no sentence ends with them.
+ABBREVIATIONS = "Mr Mrs Ms Dr Prof St Rev Gen Hon Fig Figs Eq Eqs Sec Secs Ch Vol No Nos pp cf vs viz approx al e.g i.e Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split()
+
+
+def book_sentences(c: Column) -> Column:
+    """Of a text in one line, cut after . ! ? and closing marks where a capital follows, maybe behind opening marks; not after an abbreviation or an initial."""
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    end = rf"(?<=[.!?][\"')\]”’»]{{0,3}})(?<!(?<![\p{{L}}\p{{N}}])(?:{short}|\p{{Lu}})\.) (?=[\"'(\[“‘«]{{0,2}}\p{{Lu}})"
+    flat = strip(F.regexp_replace(c, rf"{WS}+", " "))
+    return F.filter(F.transform(F.split(flat, end, -1), strip), lambda x: x != "")
+
+
 def char_overlap(c: Column, n: int) -> Column:
     """The last n characters from their first space on; the whole text if n is 0 or reaches over it."""
     if n <= 0:

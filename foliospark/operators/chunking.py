@@ -197,7 +197,7 @@ def textbook_units(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     rows = rows.withColumn("number", number)
     chapter = F.when(F.col("heading") & (T.is_chapter(F.col("name")) | (F.col("number") == 1)), F.col("name"))
     rows = rows.withColumns({"chapter": F.coalesce(F.last(chapter, True).over(so_far), F.lit("Unknown")), "section": F.coalesce(F.last(F.when(F.col("heading"), F.col("name")), True).over(so_far), F.lit("Unknown"))})
-    units = rows.where(~F.col("heading")).select("document_id", "page_pos", "block_pos", "page", "chapter", "section", F.posexplode(T.sentences(F.col("block"))).alias("sentence_pos", "text"))
+    units = rows.where(~F.col("heading")).select("document_id", "page_pos", "block_pos", "page", "chapter", "section", F.posexplode(T.book_sentences(F.col("block"))).alias("sentence_pos", "text"))
     unit = F.row_number().over(W.partitionBy("document_id").orderBy("page_pos", "block_pos", "sentence_pos")) - 1
     return units.select("document_id", unit.cast("int").alias("unit"), "page", "chapter", "section", "text")
 

@@ -24,6 +24,8 @@ from foliospark.functions import text as T
         (T.normalize_textbook_heading, "###   4   Pumps", "4 Pumps"),
         (T.sentences, "One here. Two there! three? Four", ["One here.", "Two there! three?", "Four"]),
         (T.sentences, "", []),
+        (T.book_sentences, "Dr. Smith saw Fig. 3 by J. K. Lee.\nIt held. “Did it?” She left (at last.) Then cf. Müller et al. Next!", ["Dr. Smith saw Fig. 3 by J. K. Lee.", "It held.", "“Did it?”", "She left (at last.)", "Then cf. Müller et al. Next!"]),
+        (T.book_sentences, " ", []),
         (lambda c: T.char_overlap(c, 0), "whole text", "whole text"),
         (lambda c: T.char_overlap(c, 8), "some longer text", "text"),
         (lambda c: T.char_overlap(c, 3), "abcdefgh", "fgh"),
