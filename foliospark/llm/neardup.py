@@ -18,9 +18,12 @@ from .hashing import Scheme, distinct, fingerprints, lists, ragged, shingles, sk
 
 #: Texts of a bucket up to which its pairs are written at once. The texts of a larger one are cut into blocks, which meet in tasks of their own.
 HOT, BLOCK = 16, 2048
+#: Texts of one batch in a bucket from which the bucket is cut into blocks before any shuffle. A bucket that holds a share of all texts
+#: holds it of some batch too, so none of a hundredth of all texts or more ever comes into one task.
+CROWD = 64
 
 
-def _sign(batches, scheme: Scheme, shingle: int, min_words: int):
+def _sign(batches, scheme: Scheme, shingle: int, min_words: int, crowd: int):
     for batch in batches:
         values, offsets = ragged(batch.column("wh"))
         keep = np.flatnonzero(np.diff(offsets) >= max(min_words, shingle))
@@ -37,9 +40,12 @@ def _sign(batches, scheme: Scheme, shingle: int, min_words: int):
         keys = scheme.keys(signature)[lead].ravel().view(np.int64)
         ofs = np.concatenate(([0], np.cumsum(lead * scheme.bands))).astype(np.int32)
         inside = lead[row]
+        key, times = np.unique(keys, return_counts=True)
+        key = key[times >= crowd]
+        crowded = pa.ListArray.from_arrays(np.where(np.arange(n + 1) > 0, len(key), 0).astype(np.int32), pa.array(key))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(keep)), pa.array(fp), pa.array(np.bincount(row, minlength=n).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(lead), pa.ListArray.from_arrays(ofs, pa.array(keys)), lists(h[inside], row[inside], n)],
-            ["id", "fp", "size", "s1", "s2", "lead", "keys", "sh"],
+            [batch.column("id").take(pa.array(keep)), pa.array(fp), pa.array(np.bincount(row, minlength=n).astype(np.int32)), pa.array(s1), pa.array(s2), pa.array(lead), pa.ListArray.from_arrays(ofs, pa.array(keys)), crowded, lists(h[inside], row[inside], n)],
+            ["id", "fp", "size", "s1", "s2", "lead", "keys", "crowded", "sh"],
         )
 
 
@@ -90,15 +96,15 @@ def _buckets(batches, hot: int, block: int):
 class NearDuplicates:
     """Pairs and groups of records whose sets of word shingles have at least the given similarity (Jaccard)."""
 
-    def __init__(self, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = 32, rows: int = 4, hot: int = HOT, block: int = BLOCK):
-        self.shingle, self.similarity, self.min_words, self.hot, self.block = shingle, similarity, min_words, hot, block
+    def __init__(self, shingle: int = 5, similarity: float = 0.8, min_words: int = 1, bands: int = 32, rows: int = 4, hot: int = HOT, block: int = BLOCK, crowd: int = CROWD):
+        self.shingle, self.similarity, self.min_words, self.hot, self.block, self.crowd = shingle, similarity, min_words, hot, block, crowd
         self.scheme = Scheme(bands, rows)
 
     def signatures(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, fp, size, s1, s2, lead, keys, sh) for each row with enough words; fp stands for the text."""
+        """(id, fp, size, s1, s2, lead, keys, crowded, sh) for each row with enough words; fp stands for the text; crowded: keys of many texts of a batch, on its first row."""
         kind = df.select(id_col).schema[0].dataType.simpleString()
         given = df.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("wh")).where("id is not null")
-        return given.mapInArrow(partial(_sign, scheme=self.scheme, shingle=self.shingle, min_words=self.min_words), f"id {kind}, fp long, size int, s1 long, s2 long, lead boolean, keys array<long>, sh array<long>")
+        return given.mapInArrow(partial(_sign, scheme=self.scheme, shingle=self.shingle, min_words=self.min_words, crowd=self.crowd), f"id {kind}, fp long, size int, s1 long, s2 long, lead boolean, keys array<long>, crowded array<long>, sh array<long>")
 
     def _near(self) -> Column:
         """Whether sizes and sketches of a row's two texts allow the similarity."""
@@ -110,11 +116,21 @@ class NearDuplicates:
         texts = signatures.where("lead").groupBy("fp").agg(F.first("size").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
         x = texts.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
         y = texts.select(F.col("fp").alias("b"), F.col("size").alias("nb"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-        rows = signatures.where("lead").select("fp", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+        every = signatures.where("lead").select("fp", F.explode("keys").alias("key"))
+        crowded = signatures.select(F.explode("crowded").alias("key")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        some = not crowded.isEmpty()
+        known = maybe_broadcast(crowded)
+        rows = (every.join(known, "key", "left_anti") if some else every).repartition("key").sortWithinPartitions("key", "fp")
         met = rows.mapInArrow(partial(_buckets, hot=self.hot, block=self.block), "key long, block int, a long, b long").persist(StorageLevel.MEMORY_AND_DISK)
         few = met.where("key is null").select("a", "b").distinct().join(x, "a").join(y, "b").where(self._near()).select("a", "b")
         # in order of a bucket, so that a text meets the blocks up to its own
         crowd = met.where("key is not null").select("key", "block", "a")
+        if some:
+            hot = every.join(known, "key", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+            blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / self.block).alias("blocks"))
+            # fingerprints are spread evenly and not negative, so equal ranges of them are blocks in order
+            at = F.least(F.floor(F.col("fp") / 2.0**63 * F.col("blocks")), F.col("blocks") - 1).cast("int")
+            crowd = crowd.unionByName(hot.join(maybe_broadcast(blocks), "key").select("key", at.alias("block"), F.col("fp").alias("a")).distinct())
         left = crowd.join(x, "a")
         right = crowd.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("block"), F.col("a").alias("b")).join(y, "b")
         many = left.join(right, ["key", "block"]).where(F.col("a") < F.col("b")).where(self._near()).select("a", "b")

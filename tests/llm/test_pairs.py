@@ -58,8 +58,8 @@ def test_hot_copies_and_groups(spark):
     assert got["h000"].copies == 150 and got["h000"].links == len({x for _, x in rows[:-1]}) - 1 and got["other"].links == 0
 
 
-@pytest.mark.parametrize("hot, block", [(16, 2048), (4, 16)])
-def test_every_pair_of_a_bucket_is_met(spark, hot, block):
+@pytest.mark.parametrize("hot, block, crowd", [(16, 2048, 10_000), (4, 16, 20)])
+def test_every_pair_of_a_bucket_is_met(spark, hot, block, crowd):
     rng = random.Random(7)
     base = [f"w{i}" for i in range(130)]
     rows = []
@@ -68,7 +68,7 @@ def test_every_pair_of_a_bucket_is_met(spark, hot, block):
         at = rng.randint(0, len(base) - n)
         rows.append((i, " ".join(base[at : at + n])))
     df = spark.createDataFrame(rows, "id long, t string")
-    near = NearDuplicates(shingle=3, similarity=0.6, hot=hot, block=block)
+    near = NearDuplicates(shingle=3, similarity=0.6, hot=hot, block=block, crowd=crowd)
     keys = {r.id: set(r["keys"]) for r in near.signatures(df, "id", "t").collect()}
     keys = {i: keys[i] or next(keys[j] for j, x in rows if x == t and keys[j]) for i, t in rows}
     sets = {i: shingles(t, 3)[0] for i, t in rows}
