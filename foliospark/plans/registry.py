@@ -790,21 +790,10 @@ def ab_winner(spark, d):
     return evaluation.winner(_scores(spark, d), "pipeline", "retrieval_score", order)
 
 
-def _slugs(rows):
-    return rows.select("title", S.slug(F.col("title")).alias("slug"), T.preview(F.col("title"), 12).alias("preview")).distinct()
-
-
-@query(f"select distinct title, nullif(regexp_replace(regexp_replace(lower({_sql_strip('title')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+\\z', '', 'g'), '') as slug, left(title, 12) as preview from documents where title is null or regexp_matches(title, '^[ -~]*\\z')")
+@query(f"select distinct title, nullif(regexp_replace(regexp_replace(lower({_sql_strip('title')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+\\z', '', 'g'), '') as slug, left(title, 12) as preview from documents")
 def slug(spark, d):
-    """F20, F23, over titles in ASCII, as its SQL has them."""
-    rows = table(spark, d, "documents").where(F.col("title").isNull() | F.col("title").rlike(r"^[ -~]*\z"))
-    return _slugs(rows)
-
-
-@query()
-def slug_all(spark, d):
-    """F20, F23, over all titles."""
-    return _slugs(table(spark, d, "documents"))
+    """F20, F23."""
+    return table(spark, d, "documents").select("title", S.slug(F.col("title")).alias("slug"), T.preview(F.col("title"), 12).alias("preview")).distinct()
 
 
 @query("""with f as (select distinct path, file_hash, file_size from ingestion_manifest where batch_no = 0), l as (select sha256(concat_ws('|', path, coalesce(file_hash, ''), file_size::varchar)) as d from f),

@@ -59,5 +59,5 @@ def test_slugs_of_all_titles(spark, tmp_path):
 
     titles = ["Ünïcode Café 12 and more", "Введение в ML", "机器学习", "İx", "Plain Title", "Plain Title", " !! ", None]
     spark.createDataFrame([(t,) for t in titles], "title string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.title: (r.slug, r.preview) for r in registry.QUERIES["slug_all"](spark, str(tmp_path)).collect()}
+    got = {r.title: (r.slug, r.preview) for r in registry.QUERIES["slug"](spark, str(tmp_path)).collect()}
     assert got == {titles[0]: ("n-code-caf-12-and-more", "Ünïcode Café"), titles[1]: ("ml", "Введение в M"), titles[2]: (None, titles[2]), "İx": ("i-x", "İx"), "Plain Title": ("plain-title", "Plain Title"), " !! ": (None, " !! "), None: (None, None)}
