@@ -155,3 +155,4 @@ dw as (select doc_id, array_to_string(w[i:i + 12], ' ') as r from (select doc_id
 select distinct doc_id, item_id from dw join ew using (r)""",
     "p9_found": """with s as (select lower(trim(source)) as k, sum(length(coalesce(text, ''))) as n from documents group by 1), t as (select m.*, coalesce(n, 0) as n from mix_targets m left join s on k = lower(trim(m.source))) select source from t where n * max_repeats < target_share * (select sum(n) from t)""",
 }
+ORACLES["p1_status"] = f"with found as ({ORACLES['p1_found']}), l as (select distinct record_id from ingestion_manifest where batch_no >= 1) select l.record_id, earlier_record_id, case when earlier_record_id is null then 'new' else 'repeat' end as outcome from l left join found using (record_id)"
