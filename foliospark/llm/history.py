@@ -287,24 +287,22 @@ class HistoryIndex:
         self._append("accepted", accepted, "text")
         return call, texts, signed
 
-    def load(self, records: DataFrame, chunks: DataFrame) -> None:
-        """Appends the accepted records of a history without checking them."""
-        self._add(self._records(records), chunks)
+    def ingest(self, records: DataFrame, chunks: DataFrame, history: int = 0) -> DataFrame:
+        """(record_id, earlier_record_id) of the records given: the first accepted record before it that it repeats, else NULL. What is accepted is appended.
 
-    def ingest(self, records: DataFrame, chunks: DataFrame) -> DataFrame:
-        """(record_id, earlier_record_id) of every record given: the first accepted record before it that it repeats, else NULL. What is accepted is appended.
-
-        records: as in the manifest, none of them before a record of an earlier call; chunks: those of the records' documents are read, others left alone.
+        records: as in the manifest, none of them before a record of an earlier call; those of batches up to history (none by default, as
+        batch numbers start at 1) are appended without a check. chunks: those of the records' documents are read, others left alone.
         """
         since = stage_mark()
-        rec = self._records(records)
-        call, texts, signed = self._add(rec, chunks)
+        every = self._records(records)
+        call, texts, signed = self._add(every, chunks)
+        rec = every.where(F.col("at.batch_no") > history)
         hashed = rec.where("hash is not null").withColumn("part", self._part("hash")).select("part", "hash", "at")
         by_hash = self.read("hashes").join(maybe_broadcast(hashed.select("part", "hash").distinct()), ["part", "hash"], "left_semi").groupBy("hash").agg(F.min("at").alias("first"))
         hit = hashed.join(by_hash, "hash").where("first < at").select("at", "first")
 
         asked = rec.select("at", "doc").join(texts, "doc").persist(StorageLevel.MEMORY_AND_DISK)
-        similar = written(self.similar(signed, call))
+        similar = written(self.similar(signed.join(asked.select("text").distinct(), "text", "left_semi"), call))
         wanted = asked.select("text").unionAll(similar.select("text")).distinct().withColumn("part", self._part("text"))
         stored = self.read("accepted").join(maybe_broadcast(wanted), ["part", "text"], "left_semi").groupBy("text", "doc").agg(F.min("at").alias("first"))
         # the two earliest accepted documents of each text: one of them is another document than the record's own
@@ -319,9 +317,8 @@ class HistoryIndex:
 
 
 def check(manifest: DataFrame, chunks: DataFrame, **options) -> DataFrame:
-    """(record_id, earlier_record_id) of every record of a later batch (1 and up), through an index of its own that is deleted afterwards: batch 0 is loaded, the later batches are one call."""
+    """(record_id, earlier_record_id) of every record of a later batch (1 and up), in one call to an index of its own that is deleted afterwards."""
     index = HistoryIndex(manifest.sparkSession, **options)
-    index.load(manifest.where("batch_no < 1"), chunks)
-    out = index.ingest(manifest.where("batch_no >= 1"), chunks)
+    out = index.ingest(manifest, chunks)
     index.delete()
     return out

@@ -128,8 +128,7 @@ def test_history_equals_brute_force(spark, tmp_path):
         now = m.where(f"batch_no = {k}" if k < 2 else "batch_no >= 2")
         own = c.join(now.select("document_id").distinct(), "document_id", "left_semi").select(c.columns)
         for _ in range(2 if k == 2 else 1):
-            rows = {r.record_id: r.earlier_record_id for r in history.HistoryIndex(spark, path, 3, 0.6, 30).ingest(now, own).collect()}
-        got |= rows if k else {}
+            got |= {r.record_id: r.earlier_record_id for r in history.HistoryIndex(spark, path, 3, 0.6, 30).ingest(now, own).collect()}
     assert got == wanted
 
 
