@@ -38,6 +38,8 @@ SCANNED = r"[\p{L}\p{M}\p{N}@|ﬁﬂ]+"
 TOKEN = regex.compile(SCANNED)
 HYPHENS = r"\-\u2010\u2011\u00AD\u00AC\u2027\u2043"
 BROKEN = regex.compile(rf"([\p{{L}}\p{{M}}\p{{N}}@|]+)[{HYPHENS}][ \t]*\r?\n[ \t]*(?=\p{{L}}|[01|@ſ]\p{{L}})([\p{{L}}\p{{M}}\p{{N}}@|]+)")
+#: A line that ends with a hyphen; without one nothing is looked for in BROKEN's slower way.
+CUT = regex.compile(rf"[{HYPHENS}][ \t]*\r?\n")
 COURSE = r"(?:[A-Z]{2,4}\s?\d{2,4}|[Rr]eader|READER)"
 HEADERS = [
     regex.compile(rf"\p{{Lu}}.{{2,}}?(?:,| —| –| ·| \|)\s+{COURSE}"),
@@ -291,8 +293,8 @@ def _found(batches, chains: bool):
             # a word may be cut by furniture
             text, kinds = _unfurnished(text, start, end, running or ())
             out += [(n, k, None, None) for k in sorted(kinds)]
-            forms = [text]
-            if chains and "\n" in text:
+            forms = [text] if CUT.search(text) else []
+            if chains and forms:
                 forms += [BROKEN.sub(r"\1\2", text), BROKEN.sub(r"\1-\2", text)]
             pairs = {(m[1], m[2]) for t in forms for m in BROKEN.finditer(t) if regex.search(r"\p{L}", m[1])}
             out += [(n, "hyphenation", pair_key(*p), _compounds(*p)) for p in sorted(pairs)]
@@ -302,7 +304,7 @@ def _found(batches, chains: bool):
 def flow(text: str, start: int | None, end: int | None, running, kept) -> str:
     """Continuous paragraphs without page furniture, their words whole. kept: pairs that are written with a hyphen."""
     text = _unfurnished(text, start, end, running)[0]
-    for _ in range(2):
+    for _ in range(2 if CUT.search(text) else 0):
         text = BROKEN.sub(lambda m: m[1] + m[2] if regex.search(r"\p{L}", m[1]) and pair_key(m[1], m[2]) not in kept else m[1] + "-" + m[2], text)
     if "\n" not in text:
         return text.strip()
@@ -360,7 +362,7 @@ def _followed(batches, wanted: set[str]):
 
 def scanned_words(text: Column) -> Column:
     """Words in lower case, with those cut at a line end made whole."""
-    whole = F.regexp_replace(text, rf"(?<=[\p{{L}}])[{HYPHENS}][ \t]*\r?\n[ \t]*(?=\p{{L}})", "")
+    whole = F.when(text.contains("\n"), F.regexp_replace(text, rf"(?<=[\p{{L}}])[{HYPHENS}][ \t]*\r?\n[ \t]*(?=\p{{L}})", "")).otherwise(text)
     return F.regexp_extract_all(F.lower(whole), F.lit(SCANNED), F.lit(0))
 
 
@@ -392,7 +394,8 @@ class ScanRepair:
     def running(self) -> DataFrame:
         """(doc, running): the forms of the lines that stand beside the number of their own page on several pages of a document."""
         numbered = F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*([0-9]{1,4}[ \t]{2,}\S.*|\S.*[ \t]{2,}[0-9]{1,4})[ \t]*$"), F.lit(1))
-        lines = self.base.where(F.col("page_start").isNotNull() & F.col("doc").isNotNull()).select("doc", "page_start", "page_end", numbered.alias("lines")).where(F.size("lines") > 0)
+        paged = F.col("page_start").isNotNull() & F.col("doc").isNotNull() & F.col("text").rlike(r"[0-9][ \t]{2}|[ \t]{2}[0-9]")
+        lines = self.base.where(paged).select("doc", "page_start", "page_end", numbered.alias("lines")).where(F.size("lines") > 0)
         forms = lines.mapInArrow(_numbered, "doc string, form string, page int").groupBy("doc", "form").agg(F.count_distinct("page").alias("pages")).where("pages >= 2")
         return forms.groupBy("doc").agg(F.collect_list("form").alias("running"))
 
