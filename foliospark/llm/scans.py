@@ -345,19 +345,27 @@ def _corrected(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], ["id", "repaired"])
 
 
-def _followed(batches, wanted: set[str]):
-    """The wanted words with the word before each, '' at the start of a text."""
+def _followed(batches, rights: set[str], wrongs: set[str]):
+    """Words with the word before each, '' at the start of a text: of rights how often in the batch, under no id; of wrongs where."""
     for batch in batches:
         column = batch.column("words")
         lengths = np.asarray(column.value_lengths().fill_null(0), np.int64)
-        flat = column.flatten()
-        coded = flat.dictionary_encode()
-        hit = np.array([w in wanted for w in coded.dictionary.to_pylist()], bool)
-        at = np.flatnonzero(hit[np.asarray(coded.indices)]) if len(flat) else np.empty(0, np.int64)
-        starts = np.isin(at, np.cumsum(lengths) - lengths)
-        prev = flat.take(pa.array(np.maximum(at - 1, 0), mask=starts)).fill_null("")
-        row = np.repeat(np.arange(len(lengths)), lengths)[at]
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), prev, flat.take(pa.array(at))], ["id", "prev", "word"])
+        coded = column.flatten().dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        before = np.concatenate(([len(names)], code[:-1])) if len(code) else code
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(names)
+        pair = before * (len(names) + 1) + code
+        right, wrong = (np.array([w in wanted for w in names], bool)[code] if len(code) else np.zeros(0, bool) for wanted in (rights, wrongs))
+        counted, times = np.unique(pair[right], return_counts=True)
+        where = np.unique(np.stack((row[wrong], pair[wrong])), axis=1)
+        at, both = np.concatenate((np.zeros(len(counted), np.int64), where[0])), np.concatenate((counted, where[1]))
+        none = np.arange(len(both)) < len(counted)
+        words = pa.array([*names, ""], pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(pa.array(at, mask=none)), words.take(pa.array(both // (len(names) + 1))), words.take(pa.array(both % (len(names) + 1))), pa.array(np.concatenate((times, np.ones(len(where[0]), np.int64))))],
+            ["id", "prev", "word", "times"],
+        )
 
 
 def scanned_words(text: Column) -> Column:
@@ -421,13 +429,15 @@ class ScanRepair:
         pairs = found.where("pair is not null").select("pair", F.explode("compounds").alias("compound")).distinct()
         return pairs.join(self.compounds, "compound", "left_semi").select("pair").distinct()
 
-    def _followed(self, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(id, prev, word) of all occurrences of the wanted words, which are sent to the tasks if they are few."""
-        few = wanted.limit(BROADCAST_ROWS + 1).collect()
-        if len(few) <= BROADCAST_ROWS:
-            return texts.mapInArrow(partial(_followed, wanted={r[0] for r in few}), f"id {self.kind}, prev string, word string")
+    def _followed(self, texts: DataFrame, rights: DataFrame, wrongs: DataFrame) -> DataFrame:
+        """(id, prev, word, times): how often each of rights follows each word, under no id, and where each of wrongs stands. Both are sent to the tasks if they are few."""
+        few = [df.distinct().limit(BROADCAST_ROWS + 1).collect() for df in (rights, wrongs)]
+        if max(map(len, few)) <= BROADCAST_ROWS:
+            return texts.mapInArrow(partial(_followed, rights={r[0] for r in few[0]}, wrongs={r[0] for r in few[1]}), f"id {self.kind}, prev string, word string, times long")
         pairs = F.arrays_zip(F.concat(F.array(F.lit("")), F.expr("slice(words, 1, greatest(size(words) - 1, 0))")).alias("prev"), F.col("words").alias("word"))
-        return texts.where(F.size("words") > 0).select("id", F.explode(pairs).alias("p")).select("id", "p.prev", "p.word").join(wanted.toDF("word"), "word", "left_semi").select("id", "prev", "word")
+        each = texts.where(F.size("words") > 0).select("id", F.explode(pairs).alias("p")).select("id", "p.prev", "p.word")
+        counts = each.join(rights.toDF("word").distinct(), "word", "left_semi").select(F.lit(None).cast(self.kind).alias("id"), "prev", "word", F.lit(1).cast("long").alias("times"))
+        return counts.unionAll(each.join(wrongs.toDF("word").distinct(), "word", "left_semi").select("id", "prev", "word", F.lit(1).cast("long").alias("times")))
 
     def flowed(self) -> DataFrame:
         """(id, text): every text in continuous paragraphs without page furniture, its words whole but not yet corrected; rows may be repeated."""
@@ -454,11 +464,11 @@ class ScanRepair:
         choice = misread.where("right is not null").withColumn("likely", F.col("count") * RATIO >= best).persist(StorageLevel.MEMORY_AND_DISK)
         many = choice.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
         open_ = choice.join(maybe_broadcast(many), "word", "left_semi")
-        met = written(self._followed(texts, open_.select("right").unionAll(choice.select("word")).distinct()))
-        follows = met.groupBy("prev", F.col("word").alias("right")).agg(F.count("*").alias("times"))
+        met = written(self._followed(texts, open_.select("right"), choice.select("word")))
+        follows = met.where("id is null").groupBy("prev", F.col("word").alias("right")).agg(F.sum("times").alias("times"))
         first = choice.groupBy("word").agg(F.max_by("right", F.struct("likely", -F.col("cost"), "count", "right")).alias("right"))
         decided = follows.join(maybe_broadcast(open_), "right").groupBy("prev", "word").agg(F.max_by("right", F.struct("times", "likely", -F.col("cost"), "count", "right")).alias("by_context"))
-        occurs = met.join(maybe_broadcast(first), "word").distinct().join(decided, ["prev", "word"], "left")
+        occurs = met.where("id is not null").select("id", "prev", "word").distinct().join(maybe_broadcast(first), "word").join(decided, ["prev", "word"], "left")
         fixes = occurs.groupBy("id").agg(F.collect_list(F.struct("prev", "word", F.coalesce("by_context", "right").alias("right"))).alias("fixes"))
         rows = flowed.join(fixes, "id", "left").dropDuplicates(["id"])
         fixed = rows.where("fixes is not null").mapInArrow(_corrected, f"id {self.kind}, repaired string")
