@@ -204,6 +204,39 @@ def test_markup_rows(spark):
     assert [(r.id, r.markups) for r in M.markups(df, "id", "t").collect()] == [("a", ["html"])]
 
 
+def test_every_mark_has_a_measured_path():
+    for text, path, sums in [
+        ("<div>a, <b>bc</b> d.<br></div></i>", "/html/div", [4, 2, 1]),
+        ("<div>a, <b>bc</b> d.<br></div></i>", "/html/div/b", [2, 0, 1]),
+        ("<div>a, <b>bc</b> d.<br></div></i>", "/html/i", [0, 0, 1]),
+        ("\\begin{quote}a. \\begin{center}b\\end{center}\\end{quote}", "/latex/quote/center", [1, 0, 1]),
+        ("**a, `b`** and **c**", "/markdown/emphasis", [5, 1, 2]),
+        ("[[p|two words.]] {{x|y}}", "/wiki/link", [10, 1, 1]),
+        ("<i>" * 3000 + "a.", "/html/i", [2, 1, 3000]),
+    ]:
+        reader = M.Reader(text)
+        reader.run()
+        assert reader.paths[path] == sums, (path, reader.paths)
+
+
+def test_found_markups_come_through_the_ratios(spark, tmp_path, monkeypatch):
+    from foliospark.llm import queries
+
+    body = "<p>" + "A long sentence, with commas, and some more words. " * 6 + "</p>"
+    texts = [(f"b{i}", body, "notes") for i in range(9)] + [("m", "<a href=x>Home</a>", "notes"), ("alone", "<a href=x>Home</a>", "slides"), ("w", "[[p|q]] and *r*", None), ("p", "- plain", "notes"), ("n", None, "notes")]
+    df = spark.createDataFrame([(i, t, (s,)) for i, t, s in texts + texts], "chunk_id string, chunk_text string, metadata struct<source_type:string>")
+    # marks around content and marks of controls are both residue; a menu alone in its source has nothing to be held against
+    got = {(r.id, r.markup): r.content for r in M.residue(df, "chunk_id", "chunk_text", F.col("metadata.source_type")).collect()}
+    assert got == {(f"b{i}", "html"): True for i in range(9)} | {("m", "html"): False, ("alone", "html"): True, ("w", "wiki"): True, ("w", "markdown"): True}
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    found = {tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()}
+    assert found == set(got)
+    # a path without a ratio gives no row
+    fused = M.fused_ratios
+    monkeypatch.setattr(M, "fused_ratios", lambda sums, *a: fused(sums, *a).where("path <> '/wiki/link'"))
+    assert found - {tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()} == {("w", "wiki")}
+
+
 def brute(word, words, least):
     """All words within two confusions, by trying every replacement."""
     out, now = {}, {word}
