@@ -188,11 +188,15 @@ def _rarity(batches):
 
 
 def distinctive_terms(held: DataFrame, totals: DataFrame, most_share: float) -> DataFrame:
-    """(term, distinctive) of each term that is held: whether the tail of a draw of one record is at most most_share. The edge is decided on whole numbers."""
+    """(term, distinctive) of each term that is held: whether the tail of a draw of one record is at most most_share.
+
+    The edge is decided on whole numbers, and so is what lies within the rounding of the sums beside it.
+    """
     stats = held.groupBy("term").agg(F.first("df").alias("df")).crossJoin(F.broadcast(totals.select("records")))
     tail = stats.mapInArrow(_rarity, "term long, df long, records long, log_share double")
+    above = F.col("log_share") - math.log(most_share)
     edge = F.col("df") <= F.lit(most_share) * F.col("records")
-    return tail.select("term", ((F.col("log_share") <= math.log(most_share) + 1e-6) & edge).alias("distinctive"))
+    return tail.select("term", F.when(F.abs(above) < 1e-3, edge).otherwise(above < 0).alias("distinctive"))
 
 
 def query_keywords(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_text", query_id: str = "id", keywords: str = "expected_keywords", most_share: float = 0.02) -> DataFrame:
@@ -241,13 +245,19 @@ def _phrase_scores(batches, vocabulary: tuple[np.ndarray, np.ndarray] | None, N:
         yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own)), pa.array(terms.view(np.int64)), pa.array(np.maximum(-q / np.log(10), 0.0))], ["id", "term", "score"])
 
 
-def keyword_scores(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_text", query_id: str = "id", keywords: str = "expected_keywords", most_share: float = 0.02) -> DataFrame:
-    """(query_id, keyword, id, count, df, score, distinctive): each keyword in each record that holds it, with its score there."""
+def keyword_scores(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_text", query_id: str = "id", keywords: str = "expected_keywords", most_share: float = 0.02, rare: bool = False) -> DataFrame:
+    """(query_id, keyword, id, count, df, score, distinctive): each keyword in each record that holds it, with its score there.
+
+    rare: of distinctive keywords only. Their scores are the same, since a record's own words are the family they are adjusted in.
+    """
     base = written(hashed_words(chunks, id_col, text_col).dropDuplicates(["id"]))
     kind = base.schema["id"].dataType.simpleString()
     terms = keyword_terms(queries, query_id, keywords)
     held, totals = held_phrases(base, terms)
     held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    decided = maybe_broadcast(distinctive_terms(held, totals, most_share))
+    if rare:
+        held = held.join(decided.where("distinctive"), "term", "left_semi")
     vocabulary, total, size = word_totals(base)
     asked = held.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "count", "marked"))).alias("x")).select("id", F.col("x.term").alias("terms"), F.col("x.count").alias("counts"), F.col("x.marked").alias("marked"))
     rows = base.join(asked, "id")
@@ -258,7 +268,7 @@ def keyword_scores(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_i
         words = rows.select("id", F.explode(F.array_distinct("wh")).alias("word")).join(vocabulary.withColumnRenamed("term", "word"), "word")
         listed = words.groupBy("id").agg(F.collect_list(F.struct("word", "marked")).alias("v")).select("id", F.col("v.word").alias("word"), F.col("v.marked").alias("totals"))
         scored = rows.join(listed, "id").mapInArrow(partial(_phrase_scores, vocabulary=None, N=total), shape)
-    out = held.join(scored, ["id", "term"]).join(maybe_broadcast(distinctive_terms(held, totals, most_share)), "term").join(maybe_broadcast(terms), "term")
+    out = held.join(scored, ["id", "term"]).join(decided, "term").join(maybe_broadcast(terms), "term")
     return out.select("query_id", "keyword", "id", "count", "df", "score", "distinctive")
 
 

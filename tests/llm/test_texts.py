@@ -100,6 +100,41 @@ def test_keywords_and_terms(spark, monkeypatch):
     assert D.query_keywords(df.where("false"), q).count() == 0 and D.keyword_scores(df, q.where("false")).count() == 0
 
 
+def test_found_keywords_come_through_their_scores(spark, tmp_path, monkeypatch):
+    from foliospark.llm import queries
+
+    texts = [(f"c{i}", "common words and a few more here") for i in range(150)] + [("k1", "alpha beta, alpha common"), ("k1", "alpha beta, alpha common"), ("k2", "Beta gamma delta"), ("k3", "gamma common"), ("k4", "alpha"), ("n", None)]
+    df = spark.createDataFrame(texts, "chunk_id string, chunk_text string")
+    q = spark.createDataFrame([("q", [" Alpha", "beta", "Gamma Delta", "common"]), ("r", ["gamma", "common", "nowhere"])], "id string, expected_keywords array<string>")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    q.write.parquet(f"{tmp_path}/queries.parquet")
+
+    def scores(**how):
+        return {(r.query_id, r.keyword, r.id): (r["count"], r.df, round(r.score, 9), r.distinctive) for r in D.keyword_scores(df, q, **how).collect()}
+
+    # the scores of distinctive keywords are the same whatever else is scored, both ways
+    every = scores()
+    wanted = {k: v for k, v in every.items() if v[3]}
+    assert set(wanted) == {("q", "alpha", "k1"), ("q", "alpha", "k4"), ("q", "beta", "k1"), ("q", "beta", "k2"), ("q", "gamma delta", "k2"), ("r", "gamma", "k2"), ("r", "gamma", "k3")}
+    assert scores(rare=True) == wanted and all(v[2] > 0 for v in wanted.values())
+    found = {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    assert found == {("q", "k1"), ("q", "k2")}
+    scored = D.keyword_scores
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    assert scores(rare=True) == wanted and found == {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    # a keyword without a score in a record doesn't count there
+    monkeypatch.setattr(queries, "keyword_scores", lambda *a, **how: scored(*a, **how).where("not (keyword = 'beta' and id = 'k2')"))
+    assert {tuple(r) for r in queries.p5_found(spark, str(tmp_path)).collect()} == {("q", "k1")}
+
+
+@pytest.mark.parametrize("records", [50, 10**4, 10**10])
+def test_edge_of_distinctive_keywords_is_exact(spark, records):
+    edge = records // 50
+    held = spark.createDataFrame([(i, edge + i) for i in (-1, 0, 1) if edge + i], "term long, df long")
+    got = {r.term: r.distinctive for r in D.distinctive_terms(held, spark.createDataFrame([(records,)], "records long"), 0.02).collect()}
+    assert got == {i: i <= 0 for i in (-1, 0, 1) if edge + i}
+
+
 @pytest.mark.parametrize(
     "text, wanted",
     [
