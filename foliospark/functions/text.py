@@ -15,7 +15,7 @@ IMAGE_LINE = r"(?i)^(<!--[ \t]*image[ \t]*-->|\[image\])\z"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def canonical(c: Column) -> Column:
@@ -120,11 +120,15 @@ def page_blocks(c: Column) -> Column:
 
 
 def is_heading(block: Column) -> Column:
-    """The first rule that applies decides."""
-    s = strip(block)
+    """The first rule that applies decides; long blocks without a mark in front, most of all, need no other."""
+    return let(strip(block), _is_heading)
+
+
+def _is_heading(s: Column) -> Column:
     single = ~s.rlike(WS)
     return (
-        F.when((s == "") | s.contains("<!--"), False)
+        F.when((F.length(s) > 75) & ~s.startswith("#"), False)
+        .when((s == "") | s.contains("<!--"), False)
         .when(single & (weird_capitals(s) | (F.length(s) > 15)), False)
         .when(s.rlike(r"^#{1,6}[ \t\n]"), True)
         .when(s.rlike(r"^([0-9]+[.)]|[-*])[ \t\n]") | (F.length(s) > 75) | s.rlike(r"[.?!;:]\z"), False)

@@ -4,6 +4,8 @@ A real model is passed as a function from a text column to a vector column, such
 per worker; everything else stays as it is.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,12 +18,14 @@ DIMENSIONS = 64
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _unit_counts(buckets: pa.Array) -> pa.Array:
-    """Counts of bucket numbers as vectors of unit length, a whole batch at once; NULL for an empty list."""
-    if isinstance(buckets, pa.ChunkedArray):
-        buckets = buckets.combine_chunks()
-    lengths = np.asarray(buckets.value_lengths().fill_null(0), np.int64)
-    at = np.repeat(np.arange(len(lengths)), lengths) * DIMENSIONS + np.asarray(buckets.flatten(), np.int64)
+def _unit_counts(terms: pa.Array) -> pa.Array:
+    """Counts of the terms by hash bucket as vectors of unit length, a whole batch at once; NULL for an empty list. A term is hashed once a batch."""
+    if isinstance(terms, pa.ChunkedArray):
+        terms = terms.combine_chunks()
+    lengths = np.asarray(terms.value_lengths().fill_null(0), np.int64)
+    coded = terms.flatten().dictionary_encode()
+    buckets = np.array([int(hashlib.md5(t.encode(), usedforsecurity=False).hexdigest()[:7], 16) % DIMENSIONS for t in coded.dictionary.to_pylist()], np.int64)
+    at = np.repeat(np.arange(len(lengths)), lengths) * DIMENSIONS + buckets[np.asarray(coded.indices)]
     counts = np.bincount(at, minlength=len(lengths) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(float)
     norm = np.sqrt((counts**2).sum(axis=1))
     kept = norm > 0
@@ -32,12 +36,12 @@ def _unit_counts(buckets: pa.Array) -> pa.Array:
 
 def hashed_vector(text: Column) -> Column:
     """Counts of the text's terms by hash bucket, divided by their length; NULL for a text without terms."""
-    return _unit_counts(F.transform(lexical.terms(text), lambda t: F.conv(F.left(F.md5(t), F.lit(7)), 16, 10).cast("int") % DIMENSIONS))
+    return _unit_counts(lexical.terms(text))
 
 
 def valid_chunks(df: DataFrame, text_col: str) -> DataFrame:
     """Rows whose text isn't blank."""
-    return df.where(F.regexp_replace(text_col, r"[ \t\n\r\x0b\x0c]", "") != "")
+    return df.where(F.col(text_col).rlike(r"[^ \t\n\r\x0b\x0c]"))
 
 
 def embed(df: DataFrame, text_col: str, model=hashed_vector, name: str = "hashed-64") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import answers, chunking, evaluation, hybrid
+from ..session import settled, stage_mark, written
 from . import search
 
 LABELS = {"dense": "Dense", "dense_reranker": "Dense + Reranker", "hybrid": "Hybrid", "hybrid_reranker": "Hybrid + Reranker"}
@@ -93,14 +94,23 @@ def artifact(rows: DataFrame, about: dict) -> DataFrame:
 
 
 def compare_chunkings(docs: DataFrame, queries: DataFrame, doc_col: str, text_col: str, configs: tuple = ((700, 50), (900, 75)), k: int = 3) -> DataFrame:
-    """(config, chunks, retrieval, winner) of each (target, overlap), by the mean keyword coverage of hybrid retrieval."""
+    """(config, chunks, retrieval, winner) of each (target, overlap), by the mean keyword coverage of hybrid retrieval.
+
+    The documents are cut once, into a stored table with the chunks of all configs; what is stored on the way is deleted in the end.
+    """
+    since = stage_mark()
+    made = written(chunking.chunk_generic_sizes(docs, doc_col, text_col, configs).select("at", "document_id", "chunk_id", "chunk_text", "section"))
+    lacking = {c: F.lit(None).cast(t) for c, t in (("file_name", "string"), ("file_path", "string"), ("source_type", "string"), ("course", "string"), ("title", "string"), ("chapter", "string"), ("page_start", "int"), ("page_end", "int"))}
+    asked = queries.select(F.col("id").alias("query_id"), F.col("expected_keywords").alias("keywords"))
     out = None
     for at, (target, overlap) in enumerate(configs):
-        made = chunking.chunk_generic(docs, doc_col, text_col, target, overlap)
-        lacking = {c: F.lit(None).cast(t) for c, t in (("file_name", "string"), ("file_path", "string"), ("source_type", "string"), ("course", "string"), ("title", "string"), ("chapter", "string"), ("page_start", "int"), ("page_end", "int"))}
-        chunks = made.withColumns(lacking).select("chunk_id", "chunk_text", "document_id", F.struct("document_id", "file_name", "file_path", "source_type", "course", "title", "chapter", "section", "page_start", "page_end").alias("metadata")).dropDuplicates(["chunk_id"])
-        scores = records(results(queries, chunks, ["hybrid"], k), queries)
-        row = scores.agg(F.coalesce(F.round(F.avg("retrieval_score"), 6), F.lit(0.0)).alias("retrieval")).crossJoin(made.agg(F.count("*").alias("chunks"))).select(F.lit(f"{target}/{overlap}").alias("config"), F.lit(at).alias("at"), "chunks", "retrieval")
+        own = made.where(F.col("at") == at)
+        # an id that occurs twice counts once in retrieval, so the texts need no shuffle
+        chunks = own.withColumns(lacking).select("chunk_id", "chunk_text", "document_id", F.struct("document_id", "file_name", "file_path", "source_type", "course", "title", "chapter", "section", "page_start", "page_end").alias("metadata"))
+        found = written(results(queries, chunks, ["hybrid"], k).drop("metadata"))
+        scores = evaluation.query_scores(found.drop("chunk_text"), found.select("chunk_id", "chunk_text").dropDuplicates(["chunk_id"]), asked, ["query_id", "pipeline"])
+        row = scores.agg(F.coalesce(F.round(F.avg("retrieval_score"), 6), F.lit(0.0)).alias("retrieval")).crossJoin(own.agg(F.count("*").alias("chunks"))).select(F.lit(f"{target}/{overlap}").alias("config"), F.lit(at).alias("at"), "chunks", "retrieval")
         out = row if out is None else out.unionByName(row)
+    out = written(out)
     best = out.agg(F.max_by("config", F.struct("retrieval", -F.col("at"))).alias("best"))
-    return out.crossJoin(F.broadcast(best)).select("config", "chunks", "retrieval", (F.col("config") == F.col("best")).alias("winner"))
+    return settled(out.crossJoin(F.broadcast(best)).select("config", "chunks", "retrieval", (F.col("config") == F.col("best")).alias("winner")), since)

@@ -236,3 +236,33 @@ def test_service_and_command_line(spark, tmp_path):
         parser().parse_args(["ingest"])
     log = logger("foliospark.test", str(tmp_path / "x/a.log"))
     assert logger("foliospark.test") is log and len(log.handlers) == 2
+
+
+def test_two_chunkings_cut_the_documents_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from foliospark.operators import chunking
+    from foliospark.plans import evaluate
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = docs.unionAll(spark.createDataFrame([("blank", " \n\n\t"), ("none", None), ("## head", "## Only a heading"), ("twice", "Twice given. " * 90), ("twice", "Twice given. " * 90)], "doc_id string, text string"))
+    q = spark.read.parquet(f"{SMALL}/queries.parquet")
+    sizes = ((700, 50), (900, 75))
+    got = evaluate.compare_chunkings(docs.select("doc_id", counted("text").alias("text")), q, "doc_id", "text", sizes).collect()
+    assert read.value == docs.count()
+    scores = []
+    for r, (target, overlap) in zip(got, sizes):
+        made = chunking.chunk_generic(docs, "doc_id", "text", target, overlap)
+        lacking = [F.lit(None).cast("string").alias(c) for c in ("file_name", "course", "page_start", "page_end")]
+        chunks = made.dropDuplicates(["chunk_id"]).select("chunk_id", "chunk_text", F.struct("document_id", "section", *lacking).alias("metadata"))
+        rows = evaluate.records(evaluate.results(q, chunks, ["hybrid"]), q)
+        scores.append(rows.agg(F.round(F.avg("retrieval_score"), 6)).first()[0])
+        assert (r.config, r.chunks, r.retrieval) == (f"{target}/{overlap}", made.count(), scores[-1])
+    assert [r.winner for r in got] == [scores[0] >= scores[1], scores[1] > scores[0]]
