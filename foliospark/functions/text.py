@@ -107,8 +107,8 @@ def clean(c: Column) -> Column:
 
 
 def blocks(c: Column) -> Column:
-    """The parts between blank lines, stripped, without empty ones."""
-    parts = F.split(rstrip_lines(c), r"\n[ \t\n]*\n", -1)
+    """The parts between blank lines, stripped, without empty ones. Their ends are stripped anyway, so only blanks before a line end go before."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(c, LINE_END, "\n"), r"[ \t]+\n", "\n"), r"\n[ \t\n]*\n", -1)
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
